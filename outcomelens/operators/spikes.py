@@ -15,7 +15,8 @@ the first and last run of each block, exactly; running medians use the neighbour
 and tails are mergeable aggregates, so one series may hold any share of the rows.
 
 Nulls are skipped; a null series or instant leaves only the rules for impossible values (and, without instant, the
-level of the whole series). Series whose spread is zero have no spikes.
+level of the whole series). The spread of a series is the median of its absolute residuals, or of those that are not
+zero where most are; a constant series has no spikes.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 @dataclass(frozen=True)
 class SpikeRules:
     neighbours: int = 7  # readings on each side in the running median
-    threshold: float = 0.9  # quantile of the residuals above which a tail is fitted
+    threshold: float = 0.95  # quantile of the residuals above which a tail is fitted
     fence: float = 12.0  # exceedances count for the fit up to so many spreads above the threshold
-    risk: float = 1e-9  # accepted chance of a good reading beyond the cutoff
+    risk: float = 1e-6  # accepted chance of a good reading beyond the cutoff
     floor: float = 20.0
     ceiling: float = 32.0
     shortest: int = 6  # longest run that is never stuck
@@ -54,9 +55,9 @@ def filler(value: Column) -> Column:
 def tail_cutoffs(residuals: DataFrame, rules: SpikeRules) -> DataFrame:
     """(series, spread, cutoff) from (series, residual): generalised Pareto tails above the threshold of each series."""
     q = rules.accuracy
-    spreads = residuals.groupBy("series").agg(
-        F.percentile_approx(F.abs("residual"), 0.5, q).alias("spread"), F.percentile_approx(F.abs("residual"), rules.threshold, q).alias("u"), F.count("*").alias("n")
-    )
+    size = F.abs("residual")
+    usual = F.coalesce(F.nullif(F.percentile_approx(size, 0.5, q), F.lit(0.0)), F.percentile_approx(F.when(size > 0, size), 0.5, q))
+    spreads = residuals.groupBy("series").agg(usual.alias("spread"), F.percentile_approx(size, rules.threshold, q).alias("u"), F.count("*").alias("n"))
     over = F.col("size") - F.col("u")
     fits = (
         residuals.join(spreads, "series")

@@ -106,9 +106,11 @@ def _surplus_sql(tab: str, column: str) -> str:
 
 # ---- p5: implausible spikes
 
-CLOSE = spikes.SpikeRules()
-VOLUME = spikes.SpikeRules()
-PNL = spikes.SpikeRules()
+# Between floor and ceiling the fitted tail decides. Log volume has light tails, log prices heavier ones (gaps), and
+# amounts are two-sided mixtures of gains and losses, whose common values lie up to some 25 spreads from the median.
+CLOSE = spikes.SpikeRules(floor=18.0, ceiling=25.0)
+VOLUME = spikes.SpikeRules(floor=11.0, ceiling=14.0)
+PNL = spikes.SpikeRules(floor=28.0, ceiling=33.0)
 
 
 def _bar_flags(bars: DataFrame, field: str, bad: Column, scale: Callable[[str], Column], rules: spikes.SpikeRules) -> DataFrame:

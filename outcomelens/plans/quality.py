@@ -114,9 +114,9 @@ PNL = spikes.SpikeRules(floor=28.0, ceiling=33.0)
 
 
 def _bar_flags(bars: DataFrame, field: str, bad: Column, scale: Callable[[str], Column], rules: spikes.SpikeRules) -> DataFrame:
-    """Bars are judged on a log scale, in order of date, in blocks of a year."""
+    """Bars are judged on a log scale, in order of date; a symbol has one row a day, so a century is a small block."""
     value = F.col(field).cast("double").alias("value")
-    rows = bars.select("row_id", F.col("symbol").alias("series"), F.col("date").alias("at"), F.year("date").alias("block"), value).where("value is not null")
+    rows = bars.select("row_id", F.col("symbol").alias("series"), F.col("date").alias("at"), F.floor(F.year("date") / 100).alias("block"), value).where("value is not null")
     good = rows.where(~bad & F.col("series").isNotNull() & F.col("at").isNotNull())
     residuals = spikes.local_residuals(good.withColumn("value", scale("value")), rules)
     flags = rows.where(bad).select("row_id").unionByName(spikes.spikes(residuals, rules)).unionByName(spikes.stuck(good, rules))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from outcomelens.functions.identifiers import identifier, identifier_sql
-from outcomelens.operators import delivery, references, rolling, spikes
+from outcomelens.operators import delivery, references, rolling, spikes, timestamps
 from outcomelens.sources.tables import table
 
 # ---- p1: references to records that do not exist
@@ -104,6 +104,24 @@ def _surplus_sql(tab: str, column: str) -> str:
     return f"select '{tab}' tab, row_id from (select row_id, {key} k, min(row_id) over (partition by {key}) f from {tab}) where k is not null and row_id <> f"
 
 
+# ---- p4: timestamps in many notations and zones
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    exports, audit = table(spark, d, "regime_export"), table(spark, d, "decision_audit_trail")
+    parts = [timestamps.texts(exports, "regime_export", "generated_at"), timestamps.texts(exports, "regime_export", "produced_at")]
+    return parts[0].unionByName(parts[1]).unionByName(timestamps.texts(audit, "decision_audit_trail", "timestamp"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    read = timestamps.normalised(_texts(spark, d), table(spark, d, "producers"))
+    return read.where(F.col("certain") & ~F.col("text").rlike(timestamps.CANONICAL)).select("tab", "row_id", "field", "utc_us")
+
+
+def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.normalised(_texts(spark, d), table(spark, d, "producers")).select("tab", "row_id", "field", "utc_us", "notation", "certain")
+
+
 # ---- p5: implausible spikes
 
 # Between floor and ceiling the fitted tail decides. Log volume has light tails, log prices heavier ones (gaps), and
@@ -146,7 +164,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_current, p2_found, p2_rolling, p3_found, p3_ranges, p5_found)
+    f.__name__: f for f in (p1_found, p1_report, p1_current, p2_found, p2_rolling, p3_found, p3_ranges, p4_found, p4_normalised, p5_found)
 }
 
 SQL: dict[str, str] = {

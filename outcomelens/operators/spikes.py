@@ -4,11 +4,11 @@ Spikes are found by peaks over threshold. The residual of a reading is its dista
 (a centred running median of the bars around it, or the series' median in the season of its timestamp), in units of the
 series' robust spread. Per series the residuals above a high quantile are fitted with a generalised Pareto tail (method
 of moments on the exceedances below a fence, so that the spikes themselves do not stretch the tail), and the cutoff is
-the tail's quantile at a fixed risk, never below FLOOR spreads nor, as exceedances are few, above CEILING. A lasting new
+the tail's quantile at a fixed risk, never below floor spreads nor, as exceedances are few, above ceiling. A lasting new
 level moves the running median along and is no spike.
 
 Stuck values are runs of equal consecutive readings that are much longer than the run lengths the series shows
-otherwise (QUANTILE of its run lengths, times STRETCH, at least SHORTEST); all but the first row of a run are flagged.
+otherwise (RUN_QUANTILE of its run lengths, times stretch, at least shortest); all but the first row of a run are flagged.
 
 Long series are cut into blocks of time. Runs are found inside the blocks and joined across them by a second pass over
 the first and last run of each block, exactly; running medians use the neighbours inside the block. Spreads, quantiles
@@ -26,18 +26,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+THRESHOLD = 0.95  # quantile of the residuals above which a tail is fitted
+RUN_QUANTILE = 0.95
+ACCURACY = 1000
+
+
 @dataclass(frozen=True)
 class SpikeRules:
-    neighbours: int = 7  # readings on each side in the running median
-    threshold: float = 0.95  # quantile of the residuals above which a tail is fitted
     fence: float = 12.0  # exceedances count for the fit up to so many spreads above the threshold
     risk: float = 1e-6  # accepted chance of a good reading beyond the cutoff
     floor: float = 20.0
     ceiling: float = 32.0
     shortest: int = 6  # longest run that is never stuck
     stretch: float = 2.0
-    run_quantile: float = 0.95
-    accuracy: int = 1000
 
 
 def impossible(value: Column) -> Column:
@@ -52,82 +53,91 @@ def filler(value: Column) -> Column:
     return F.coalesce((size >= 999_000) & ((power - size).isin(0.0, 1.0) | (F.abs(power - size - 0.01) < 0.004)), F.lit(False))
 
 
-def tail_cutoffs(residuals: DataFrame, rules: SpikeRules) -> DataFrame:
-    """(series, spread, cutoff) from (series, residual): generalised Pareto tails above the threshold of each series."""
-    q = rules.accuracy
-    size = F.abs("residual")
-    usual = F.coalesce(F.nullif(F.percentile_approx(size, 0.5, q), F.lit(0.0)), F.percentile_approx(F.when(size > 0, size), 0.5, q))
-    spreads = residuals.groupBy("series").agg(usual.alias("spread"), F.percentile_approx(size, rules.threshold, q).alias("u"), F.count("*").alias("n"))
-    over = F.col("size") - F.col("u")
+def local_residuals(readings: DataFrame, neighbours: int = 7) -> DataFrame:
+    """(field, series, row_id, residual): distance from the centred running median of (field, series, block, at, row_id, value)."""
+    around = Window.partitionBy("field", "series", "block").orderBy("at", "row_id").rowsBetween(-neighbours, neighbours)
+    return readings.select("field", "series", "row_id", (F.col("value") - F.percentile("value", 0.5).over(around)).alias("residual"))
+
+
+def seasonal_residuals(readings: DataFrame, season: Column, least: int = 30) -> DataFrame:
+    """(field, series, row_id, residual): distance from the series' median in its season; from the median of the whole
+    series where the season has fewer than `least` readings or is unknown. Both medians come from one aggregation."""
+    timed = readings.select("field", "series", "row_id", "value", season.alias("season"))
+    sets = timed.groupingSets([["field", "series", "season"], ["field", "series"]], "field", "series", "season")
+    levels = sets.agg(F.grouping("season").alias("whole"), F.percentile_approx("value", 0.5, ACCURACY).alias("level"), F.count("*").alias("n"))
+    usual = levels.where("whole = 1").select("field", "series", F.col("level").alias("usual"))
+    by_season = levels.where((F.col("whole") == 0) & (F.col("n") >= least) & F.col("season").isNotNull()).select("field", "series", "season", "level")
+    joined = timed.join(usual, ["field", "series"]).join(by_season, ["field", "series", "season"], "left")
+    return joined.select("field", "series", "row_id", (F.col("value") - F.coalesce("level", "usual")).alias("residual"))
+
+
+def _of_field(rules: dict[str, SpikeRules], name: str) -> Column:
+    chosen = F.lit(None).cast("double")
+    for field, rule in rules.items():
+        chosen = F.when(F.col("field") == field, float(getattr(rule, name))).otherwise(chosen)
+    return chosen
+
+
+def tail_cutoffs(residuals: DataFrame, rules: dict[str, SpikeRules]) -> DataFrame:
+    """(field, series, spread, cutoff): generalised Pareto tails above the threshold of each series of (field, series, residual)."""
+    keys, size = ["field", "series"], F.abs("residual")
+    usual = F.coalesce(F.nullif(F.percentile_approx(size, 0.5, ACCURACY), F.lit(0.0)), F.percentile_approx(F.when(size > 0, size), 0.5, ACCURACY))
+    spreads = residuals.groupBy(*keys).agg(usual.alias("spread"), F.percentile_approx(size, THRESHOLD, ACCURACY).alias("u"), F.count("*").alias("n"))
+    over = size - F.col("u")
     fits = (
-        residuals.join(spreads, "series")
-        .withColumn("size", F.abs("residual"))
-        .where((F.col("size") > F.col("u")) & (F.col("size") <= F.col("u") + rules.fence * F.col("spread")))
-        .groupBy("series")
+        residuals.join(spreads, keys)
+        .where((over > 0) & (over <= _of_field(rules, "fence") * F.col("spread")))
+        .groupBy(*keys)
         .agg(F.avg(over).alias("mean"), F.var_pop(over).alias("var"), F.count("*").alias("k"))
     )
     ratio = F.try_divide(F.col("mean") * F.col("mean"), F.col("var"))
     shape = F.greatest(F.lit(-0.5), F.least(F.lit(0.25), 0.5 * (1 - ratio)))
     scale = F.col("mean") * (1 - F.col("shape"))
-    share = F.col("k") / F.col("n") / rules.risk
+    share = F.col("k") / F.col("n") / _of_field(rules, "risk")
     reach = F.when(F.abs("shape") < 1e-3, F.log(share)).otherwise((F.pow(share, F.col("shape")) - 1) / F.col("shape"))
-    cutoff = F.greatest(F.lit(rules.floor), F.least(F.lit(rules.ceiling), F.try_divide(F.col("u") + scale * reach, F.col("spread"))))
-    return (
-        spreads.where("spread > 0")
-        .join(fits, "series", "left")
-        .withColumn("shape", F.coalesce(shape, F.lit(0.0)))
-        .select("series", "spread", F.coalesce(cutoff, F.lit(rules.ceiling)).alias("cutoff"))
-    )
+    ceiling = _of_field(rules, "ceiling")
+    cutoff = F.greatest(_of_field(rules, "floor"), F.least(ceiling, F.try_divide(F.col("u") + scale * reach, F.col("spread"))))
+    fitted = spreads.where("spread > 0").join(fits, keys, "left").withColumn("shape", F.coalesce(shape, F.lit(0.0)))
+    return fitted.select(*keys, "spread", F.coalesce(cutoff, ceiling).alias("cutoff"))
 
 
-def spikes(residuals: DataFrame, rules: SpikeRules) -> DataFrame:
-    """row_id of the readings beyond the cutoff of their series, from (series, row_id, residual)."""
-    return residuals.join(tail_cutoffs(residuals, rules), "series").where(F.abs("residual") > F.col("cutoff") * F.col("spread")).select("row_id")
+def spikes(residuals: DataFrame, rules: dict[str, SpikeRules]) -> DataFrame:
+    """(field, row_id) of the readings beyond the cutoff of their series, from (field, series, row_id, residual)."""
+    judged = residuals.join(tail_cutoffs(residuals, rules), ["field", "series"])
+    return judged.where(F.abs("residual") > F.col("cutoff") * F.col("spread")).select("field", "row_id")
 
 
-def local_residuals(readings: DataFrame, rules: SpikeRules) -> DataFrame:
-    """(series, row_id, residual): distance from the centred running median of (series, block, at, row_id, value)."""
-    around = Window.partitionBy("series", "block").orderBy("at", "row_id").rowsBetween(-rules.neighbours, rules.neighbours)
-    return readings.select("series", "row_id", (F.col("value") - F.percentile("value", 0.5).over(around)).alias("residual"))
-
-
-def seasonal_residuals(readings: DataFrame, season: Column, rules: SpikeRules) -> DataFrame:
-    """(series, row_id, residual): distance from the series' median in its season; the median of the whole series where
-    the season has fewer than 30 readings or is unknown."""
-    timed = readings.withColumn("season", season)
-    levels = timed.groupBy("series", "season").agg(F.percentile_approx("value", 0.5, rules.accuracy).alias("level"), F.count("*").alias("n")).where("n >= 30 and season is not null")
-    whole = readings.groupBy("series").agg(F.percentile_approx("value", 0.5, rules.accuracy).alias("usual"))
-    return (
-        timed.join(whole, "series")
-        .join(levels.drop("n"), ["series", "season"], "left")
-        .select("series", "row_id", (F.col("value") - F.coalesce("level", "usual")).alias("residual"))
-    )
+def islands(readings: DataFrame) -> DataFrame:
+    """(field, series, block, at, row_id, value) with `opens` and the number of the run of equal values inside the block."""
+    order = Window.partitionBy("field", "series", "block").orderBy("at", "row_id")
+    opens = F.coalesce(F.lag("value").over(order) != F.col("value"), F.lit(True))
+    marked = readings.withColumn("opens", opens)
+    return marked.withColumn("island", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def runs(readings: DataFrame) -> DataFrame:
-    """Every reading of (series, block, at, row_id, value) with the length of its run of equal values and whether it opens it."""
-    order = Window.partitionBy("series", "block").orderBy("at", "row_id")
-    change = F.when(F.lag("value").over(order) == F.col("value"), 0).otherwise(1)
-    islands = readings.withColumn("change", change).withColumn("island", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("series", "block")
+def runs(marked: DataFrame) -> DataFrame:
+    """The islands with `run`, the length of the whole run across blocks, and `goes_on`: it began in an earlier block."""
+    here, whole = ["field", "series", "block"], Window.partitionBy("field", "series", "block")
     parts = (
-        islands.groupBy("series", "block", "island")
+        marked.groupBy(*here, "island")
         .agg(F.min("value").alias("value"), F.count("*").alias("length"))
         .withColumn("inner", (F.col("island") > 1) & (F.col("island") < F.max("island").over(whole)))
     )
-    # runs that touch an edge of their block may go on in the next one
-    along = Window.partitionBy("series").orderBy("block", "island")
+    # only runs that touch an edge of their block may go on in the next one
+    along = Window.partitionBy("field", "series").orderBy("block", "island")
     goes_on = F.coalesce((F.lag("value").over(along) == F.col("value")) & (F.lag("block").over(along) != F.col("block")), F.lit(False))
-    edges = parts.where("not inner").withColumn("goes_on", goes_on).withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy("series", "chain")
-    joined = edges.select("series", "block", "island", "goes_on", F.sum("length").over(chain).alias("run"))
-    lengths = parts.where("inner").select("series", "block", "island", F.lit(False).alias("goes_on"), F.col("length").alias("run")).unionByName(joined)
-    return islands.join(lengths, ["series", "block", "island"]).select("series", "row_id", "run", ((F.col("change") == 1) & ~F.col("goes_on")).alias("opens"))
-
-
-def stuck(readings: DataFrame, rules: SpikeRules) -> DataFrame:
-    """row_id of all but the first reading of every stuck run."""
-    found = runs(readings)
-    usual = found.where("opens").groupBy("series").agg(F.percentile_approx("run", rules.run_quantile, rules.accuracy).alias("usual"))
-    longest = F.greatest(F.lit(rules.shortest), F.ceil(rules.stretch * F.col("usual")))
-    return found.where((F.col("run") > rules.shortest) & ~F.col("opens")).join(usual, "series").where(F.col("run") > longest).select("row_id")
+    edges = parts.where("not inner").withColumn("goes_on", goes_on)
+    edges = edges.withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.select(*here, "island", "goes_on", F.sum("length").over(Window.partitionBy("field", "series", "chain")).alias("run"))
+    return parts.where("inner").select(*here, "island", F.lit(False).alias("goes_on"), F.col("length").alias("run")).unionByName(joined)
+
+
+def stuck(readings: DataFrame, rules: dict[str, SpikeRules]) -> DataFrame:
+    """(field, row_id) of all but the first reading of every stuck run."""
+    marked = islands(readings)
+    lengths = runs(marked)
+    usual = lengths.where("not goes_on").groupBy("field", "series").agg(F.percentile_approx("run", RUN_QUANTILE, ACCURACY).alias("usual"))
+    longest = F.greatest(_of_field(rules, "shortest"), _of_field(rules, "stretch") * F.col("usual"))
+    long = lengths.where(F.col("run") > _of_field(rules, "shortest")).join(usual, ["field", "series"]).where(F.col("run") > longest)
+    found = marked.join(long.select("field", "series", "block", "island", "goes_on"), ["field", "series", "block", "island"])
+    return found.where(~F.col("opens") | F.col("goes_on")).select("field", "row_id")

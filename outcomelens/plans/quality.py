@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from outcomelens.functions.identifiers import identifier, identifier_sql
 from outcomelens.operators import delivery, references, rolling, spikes, timestamps
+from outcomelens.session import cut
 from outcomelens.sources.tables import table
 
 # ---- p1: references to records that do not exist
@@ -126,41 +127,45 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 # Between floor and ceiling the fitted tail decides. Log volume has light tails, log prices heavier ones (gaps), and
 # amounts are two-sided mixtures of gains and losses, whose common values lie up to some 25 spreads from the median.
-CLOSE = spikes.SpikeRules(floor=18.0, ceiling=25.0)
-VOLUME = spikes.SpikeRules(floor=11.0, ceiling=14.0)
-PNL = spikes.SpikeRules(floor=28.0, ceiling=33.0)
-
-
-def _bar_flags(bars: DataFrame, field: str, bad: Column, scale: Callable[[str], Column], rules: spikes.SpikeRules) -> DataFrame:
-    """Bars are judged on a log scale, in order of date; a symbol has one row a day, so a century is a small block."""
-    value = F.col(field).cast("double").alias("value")
-    rows = bars.select("row_id", F.col("symbol").alias("series"), F.col("date").alias("at"), F.floor(F.year("date") / 100).alias("block"), value).where("value is not null")
-    good = rows.where(~bad & F.col("series").isNotNull() & F.col("at").isNotNull())
-    residuals = spikes.local_residuals(good.withColumn("value", scale("value")), rules)
-    flags = rows.where(bad).select("row_id").unionByName(spikes.spikes(residuals, rules)).unionByName(spikes.stuck(good, rules))
-    return flags.distinct().select(F.lit("outcomes_clusters").alias("tab"), "row_id", F.lit(field).alias("field"))
-
-
-def _event_flags(events: DataFrame, rules: spikes.SpikeRules) -> DataFrame:
-    """Amounts are judged as they stand, per strategy and month, each event once; then every row of a flagged event."""
-    priced = delivery.first_deliveries(events, "event_id", ["strategy_id", "timestamp", "realized_pnl"]).where("realized_pnl is not null")
-    value = F.col("value")
-    rows = priced.select("key", "copies", "row_id", F.col("strategy_id").alias("series"), F.col("timestamp").alias("at"), F.date_trunc("hour", "timestamp").alias("block"), F.col("realized_pnl").alias("value"))
-    bad = spikes.impossible(value) | spikes.filler(value)
-    good = rows.where(~bad & F.col("series").isNotNull())
-    residuals = spikes.seasonal_residuals(good, F.date_trunc("month", "at"), rules)
-    judged = spikes.spikes(residuals, rules).unionByName(spikes.stuck(good.where("at is not null"), rules)).distinct()
-    flagged = rows.where(bad).select("key", "copies", "row_id").unionByName(rows.join(judged, "row_id").select("key", "copies", "row_id"))
-    again = delivery.keyed(events, "event_id").join(flagged.where("copies > 1").select("key"), "key").select("row_id")
-    found = flagged.where("copies = 1").select("row_id").unionByName(again)
-    return found.select(F.lit("events_synthetic").alias("tab"), "row_id", F.lit("realized_pnl").alias("field"))
+RULES = {
+    "close": spikes.SpikeRules(floor=18.0, ceiling=25.0),
+    "volume": spikes.SpikeRules(floor=11.0, ceiling=14.0),
+    "realized_pnl": spikes.SpikeRules(floor=28.0, ceiling=33.0),
+}
+
+
+def _bars(bars: DataFrame, field: str) -> DataFrame:
+    """In order of date; a symbol has one row a day, so a century is a small block."""
+    value, block = F.col(field).cast("double").alias("value"), F.floor(F.year("date") / 100).alias("block")
+    return bars.select(F.lit(field).alias("field"), F.col("symbol").alias("series"), block, F.col("date").cast("timestamp").alias("at"), "row_id", value).where("value is not null")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    bars, value = table(spark, d, "outcomes_clusters"), F.col("value")
-    close = _bar_flags(bars, "close", spikes.impossible(value) | (value <= 0), F.log, CLOSE)
-    volume = _bar_flags(bars, "volume", value < 0, F.log1p, VOLUME)
-    return close.unionByName(volume).unionByName(_event_flags(table(spark, d, "events_synthetic"), PNL))
+    """Bars are judged on a log scale around a running median, amounts as they stand around the median of their month.
+    Each event is judged once; then every row of a flagged event is flagged."""
+    bars, events = table(spark, d, "outcomes_clusters"), table(spark, d, "events_synthetic")
+    value, field = F.col("value"), F.col("field")
+    once = delivery.first_deliveries(events, "event_id", ["strategy_id", "timestamp", "realized_pnl"]).where("realized_pnl is not null")
+    at, pnl = F.col("timestamp").cast("timestamp"), F.lit("realized_pnl").alias("field")
+    amounts = cut(once.select(pnl, F.col("strategy_id").alias("series"), F.unix_seconds(F.date_trunc("hour", at)).alias("block"), at.alias("at"), "row_id", F.col("realized_pnl").alias("value"), "key", "copies"))
+    readings = _bars(bars, "close").unionByName(_bars(bars, "volume")).unionByName(amounts.drop("key", "copies"))
+    bad = (
+        spikes.impossible(value)
+        | ((field == "close") & (value <= 0))
+        | ((field == "volume") & (value < 0))
+        | ((field == "realized_pnl") & spikes.filler(value))
+    )
+    good = readings.where(~bad & F.col("series").isNotNull())
+    timed = good.where("at is not null")
+    logs = timed.where("field <> 'realized_pnl'").withColumn("value", F.when(field == "close", F.log("value")).otherwise(F.log1p("value")))
+    around = spikes.local_residuals(logs).unionByName(spikes.seasonal_residuals(good.where("field = 'realized_pnl'"), F.date_trunc("month", "at")))
+    residuals = cut(around)
+    flags = readings.where(bad).select("field", "row_id").unionByName(spikes.spikes(residuals, RULES)).unionByName(spikes.stuck(timed, RULES)).distinct()
+    flags = cut(flags)
+    flagged = amounts.select("key", "copies", "row_id").join(flags.where("field = 'realized_pnl'").select("row_id"), "row_id")
+    again = delivery.keyed(events, "event_id").join(flagged.where("copies > 1").select("key"), "key").select("row_id")
+    of_events = flagged.where("copies = 1").select("row_id").unionByName(again).select(F.lit("events_synthetic").alias("tab"), "row_id", pnl)
+    return flags.where("field <> 'realized_pnl'").select(F.lit("outcomes_clusters").alias("tab"), "row_id", "field").unionByName(of_events)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = "outcomelens-cut"
+
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests, the command line and the bench; on a cluster the submitter's session is used."""
@@ -43,6 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there: several readers, one computation, no lost lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared folder and read from there: many readers, one computation, and a lost
+    executor costs no more than reading again. Columnar, so it is smaller than the checkpoint of the same rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{TABLES}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that this application cut; call it when their readers are done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{TABLES}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,10 +1,11 @@
 """Evaluation passages inside training texts.
 
 Word n-grams that occur in at most RARE_ITEMS of the test items are the seeds. A document and an item that share at least
-LEAST_SEEDS different seeds are aligned word by word (Smith-Waterman, local); the best stretch is taken, its words are
-masked, and so on until no stretch of LEAST_WORDS matching words at IDENTITY is left. The pair is a leak if the
-stretches hold at least SHARE of the words of the item's passage. Words are compared without layout, case, punctuation,
-markup and escapes; reordered sentences align as stretches of their own, changed words inside them as mismatches.
+LEAST_SEEDS different seeds are aligned word by word (Smith-Waterman, local). Of the best alignment the coherent
+stretches are taken (at least LEAST_WORDS matching words that are a share of IDENTITY of the columns), their words are
+masked, and so on until no alignment has LEAST_WORDS matches. The pair is a leak if its stretches hold at least SHARE of
+the words of the item's passage. Words are compared without layout, case, punctuation, markup and escapes; reordered
+sentences align as stretches of their own, changed words inside them as mismatches.
 
 A document's n-grams are filtered against those of the items before any shuffle when the items' hashes fit a checked
 bound, and joined unfiltered beyond it; both give the same rows. A seed belongs to at most RARE_ITEMS items, so the seed
@@ -27,8 +28,9 @@ from outcomelens.llm.words import Hashes, bare_words
 GRAM = 4
 RARE_ITEMS = 2
 LEAST_SEEDS = 3
-LEAST_WORDS = 6
-IDENTITY = 0.7
+LEAST_WORDS = 8
+IDENTITY = 0.75
+BREAK = 4
 SHARE = 0.25
 MATCH, MISMATCH, GAP = 4, -3, -3
 FILTER_BOUND = 4_000_000  # item n-grams (8 bytes each) up to which the filter is broadcast
@@ -75,9 +77,9 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return shared.where(F.col("seeds") >= LEAST_SEEDS).select("doc_id", "item_id")
 
 
-def align(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Best local alignment of two arrays of word codes (negative codes match nothing): matched positions in the passage
-    and in the text, and the number of aligned columns."""
+def align(passage: np.ndarray, text: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Best local alignment of two arrays of word codes (negative codes match nothing): its columns, as (position in the
+    passage, position in the text, whether they match)."""
     n, m = len(passage), len(text)
     score = np.zeros((n + 1, m + 1), np.int32)
     ramp = GAP * np.arange(m + 1, dtype=np.int32)
@@ -88,21 +90,33 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
         np.maximum(row, score[i] + GAP, out=row)
         np.maximum(row, 0, out=row)
         np.maximum(row, np.maximum.accumulate(row - ramp) + ramp, out=row)
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    mine, theirs, columns = [], [], 0
+    i, j = (int(x) for x in np.unravel_index(int(score.argmax()), score.shape))
+    columns = []
     while i and j and score[i, j] > 0:
-        columns += 1
-        same = passage[i - 1] == text[j - 1] and passage[i - 1] >= 0
+        same = bool(passage[i - 1] == text[j - 1] and passage[i - 1] >= 0)
         if score[i, j] == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
             i, j = i - 1, j - 1
-            if same:
-                mine.append(i)
-                theirs.append(j)
+            columns.append((i, j, same))
         elif score[i, j] == score[i - 1, j] + GAP:
             i -= 1
+            columns.append((i, j, False))
         else:
             j -= 1
-    return np.array(mine[::-1], int), np.array(theirs[::-1], int), columns
+            columns.append((i, j, False))
+    return columns[::-1]
+
+
+def stretches(columns: list[tuple[int, int, bool]], least: int) -> list[list[tuple[int, int]]]:
+    """The matching (passage, text) positions of each coherent stretch of an alignment. It is cut where more than BREAK
+    columns in a row do not match, as where a sentence moved or foreign text lies between."""
+    hits = [k for k, (_, _, same) in enumerate(columns) if same]
+    found, start = [], 0
+    for k in range(1, len(hits) + 1):
+        if k == len(hits) or hits[k] - hits[k - 1] > BREAK + 1:
+            if k - start >= max(least, IDENTITY * (hits[k - 1] - hits[start] + 1)):
+                found.append([columns[h][:2] for h in hits[start:k]])
+            start = k
+    return found
 
 
 def leaked_share(passage: list[str], text: list[str]) -> float:
@@ -120,19 +134,21 @@ def leaked_share(passage: list[str], text: list[str]) -> float:
             near[min(len(t), k + GRAM + len(p))] -= 1
     inside = np.cumsum(near)[:-1] > 0
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-    total = 0
+    total, least = 0, min(LEAST_WORDS, len(passage))
     for a, b in zip(edges[::2], edges[1::2]):
         window = t[a:b].copy()
         while True:
-            mine, theirs, columns = align(p, window)
-            if len(mine) < min(LEAST_WORDS, len(passage)) or len(mine) < IDENTITY * columns:
+            columns = align(p, window)
+            matches = [(i, j) for i, j, same in columns if same]
+            if len(matches) < least:
                 break
-            total += len(mine)
-            p = p.copy()
-            p[mine] = -2
-            window[theirs] = -1
+            kept = [pair for stretch in stretches(columns, least) for pair in stretch]
+            total += len(kept)
             if total >= SHARE * len(passage):
                 return total / len(passage)
+            for i, j in kept or matches:
+                window[j] = -1
+                p[i] = -2 if kept else p[i]
     return total / len(passage)
 
 

@@ -25,6 +25,8 @@ FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern of the vocabulary; (?U) gives \s and \S their Unicode meaning in Java.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HOT, HOT_CHARS = 20_000, 32
+#: A token travels as one number: word position, position in the word (20 bits), id (16 bits).
+WORD_SHIFT, TOKEN_SHIFT = 36, 16
 
 
 @lru_cache(maxsize=4)
@@ -65,8 +67,11 @@ def encode(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     looked = pieces(docs).join(F.broadcast(hot), "word", "left")
     known = looked.where("hot_ids is not null").select("doc_id", "version", "pos", F.col("hot_ids").alias("ids"))
     rest = looked.where("hot_ids is null").drop("hot_ids").join(words.drop("n"), "word").select("doc_id", "version", "pos", "ids")
-    ordered = F.array_sort(F.collect_set(F.struct("pos", "ids")))
-    found = known.unionByName(rest).groupBy("doc_id", "version").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    tokens = known.unionByName(rest).select("doc_id", "version", "pos", F.posexplode("ids").alias("k", "id"))
+    code = F.shiftleft(F.col("pos").cast("bigint"), WORD_SHIFT) + F.shiftleft(F.col("k").cast("bigint"), TOKEN_SHIFT) + F.col("id")
+    ordered = F.array_distinct(F.array_sort(F.collect_list(code)))
+    ids = F.transform(ordered, lambda x: x.bitwiseAND(F.lit((1 << TOKEN_SHIFT) - 1)).cast("int"))
+    found = tokens.groupBy("doc_id", "version").agg(ids.alias("ids"))
     empty = docs.where("text is null or text = ''").select("doc_id").distinct()
     return found.select("doc_id", "ids").unionByName(empty.select("doc_id", F.array().cast("array<int>").alias("ids")))
 

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from outcomelens.operators.runs import islands, runs
+
 
 THRESHOLD = 0.95  # quantile of the residuals above which a tail is fitted
 RUN_QUANTILE = 0.95
@@ -107,31 +109,6 @@ def spikes(residuals: DataFrame, rules: dict[str, SpikeRules]) -> DataFrame:
     return judged.where(F.abs("residual") > F.col("cutoff") * F.col("spread")).select("field", "row_id")
 
 
-def islands(readings: DataFrame) -> DataFrame:
-    """(field, series, block, at, row_id, value) with `opens` and the number of the run of equal values inside the block."""
-    order = Window.partitionBy("field", "series", "block").orderBy("at", "row_id")
-    opens = F.coalesce(F.lag("value").over(order) != F.col("value"), F.lit(True))
-    marked = readings.withColumn("opens", opens)
-    return marked.withColumn("island", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def runs(marked: DataFrame) -> DataFrame:
-    """The islands with `run`, the length of the whole run across blocks, and `goes_on`: it began in an earlier block."""
-    here, whole = ["field", "series", "block"], Window.partitionBy("field", "series", "block")
-    parts = (
-        marked.groupBy(*here, "island")
-        .agg(F.min("value").alias("value"), F.count("*").alias("length"))
-        .withColumn("inner", (F.col("island") > 1) & (F.col("island") < F.max("island").over(whole)))
-    )
-    # only runs that touch an edge of their block may go on in the next one
-    along = Window.partitionBy("field", "series").orderBy("block", "island")
-    goes_on = F.coalesce((F.lag("value").over(along) == F.col("value")) & (F.lag("block").over(along) != F.col("block")), F.lit(False))
-    edges = parts.where("not inner").withColumn("goes_on", goes_on)
-    edges = edges.withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = edges.select(*here, "island", "goes_on", F.sum("length").over(Window.partitionBy("field", "series", "chain")).alias("run"))
-    return parts.where("inner").select(*here, "island", F.lit(False).alias("goes_on"), F.col("length").alias("run")).unionByName(joined)
-
-
 def stuck(readings: DataFrame, rules: dict[str, SpikeRules]) -> DataFrame:
     """(field, row_id) of all but the first reading of every stuck run."""
     marked = islands(readings)

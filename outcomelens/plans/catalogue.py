@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from outcomelens.plans import quality
+from outcomelens.plans import analytics, quality
 
-MODULES = (quality,)
+MODULES = (analytics, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -82,7 +82,7 @@ def valid_bars(bars: DataFrame, strict: bool = False) -> DataFrame:
     rows = checked(bars)
     if strict:
         whole = Window.partitionBy("symbol")
-        rows = rows.where(F.sum(F.size("errors")).over(whole) == 0)
+        rows = rows.withColumn("broken", F.sum(F.size("errors")).over(whole)).where("broken = 0").drop("broken")
     return rows.where(F.size("errors") == 0).drop("errors")
 
 

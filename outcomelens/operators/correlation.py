@@ -41,14 +41,17 @@ def overlap(streams: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pearson(cov: Column, dev_a: Column, dev_b: Column) -> Column:
-    """Clamped to [-1, 1]; null for a constant series."""
+    """Clamped to [-1, 1]. Rounding may leave a constant series a tiny deviation: callers test for one by its extremes."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.nullif(dev_a * dev_b, F.lit(0.0)))))
 
 
 def strategy_correlation(streams: DataFrame, a: str, b: str, rules: Thresholds = THRESHOLDS) -> DataFrame:
     """One row: correlation and Fisher interval, withheld below the sample of overlapping days."""
-    stats = overlap(streams, a, b).agg(F.count("*").alias("n"), F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("da"), F.stddev_pop("b").alias("db"))
-    r = F.when(F.col("n") >= 2, pearson(F.col("cov"), F.col("da"), F.col("db")))
+    varied = (F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))
+    stats = overlap(streams, a, b).agg(
+        F.count("*").alias("n"), F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("da"), F.stddev_pop("b").alias("db"), varied.alias("varied")
+    )
+    r = F.when((F.col("n") >= 2) & F.col("varied"), pearson(F.col("cov"), F.col("da"), F.col("db")))
     enough = F.col("n") >= rules.sample
     bounded = (F.col("n") >= 4) & (F.abs("r") < 1)
     half = 1.96 / F.sqrt(F.col("n") - 3)
@@ -61,8 +64,9 @@ def rolling_correlation(streams: DataFrame, a: str, b: str, window: int = WINDOW
     """Correlation over the trailing `window` days of the overlap (rows, not calendar days), from the first full window on."""
     order = Window.orderBy("day").rowsBetween(-(window - 1), 0)
     days = overlap(streams, a, b)
+    varied = (F.min("a").over(order) < F.max("a").over(order)) & (F.min("b").over(order) < F.max("b").over(order))
     rows = days.select(
         "day", F.row_number().over(Window.orderBy("day")).alias("k"),
-        r6(pearson(F.covar_pop("a", "b").over(order), F.stddev_pop("a").over(order), F.stddev_pop("b").over(order)), 4).alias("correlation"),
+        r6(F.when(varied, pearson(F.covar_pop("a", "b").over(order), F.stddev_pop("a").over(order), F.stddev_pop("b").over(order))), 4).alias("correlation"),
     )
     return rows.where(F.col("k") >= window).select("day", "correlation")

@@ -74,121 +74,127 @@ def abbreviations(spark: SparkSession) -> DataFrame:
 
 
 def _number(part: Column) -> Column:
-    return part.try_cast("bigint")
-
-
-def _days(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970 of a civil date; null where there is no such date."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    length = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    shifted = y - F.when(m <= 2, 1).otherwise(0)
-    months = (m + 9) % 12
-    of_year = F.floor((months * 153 + 2) / 5) + d - 1
-    days = shifted * 365 + F.floor(shifted / 4) - F.floor(shifted / 100) + F.floor(shifted / 400) + of_year - 719468
-    return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= length), days)
-
-
-def _utc_of(local: Column) -> Column:
-    """The instants (0, 1 or 2) a local time stands for, as an array: by written offset, by UTC, or by the producer's zone."""
-    mark, zone = F.col("mark"), F.col("zone")
-    digits = F.rpad(F.regexp_replace(F.substring(mark, 2, 5), ":", ""), 4, "0")
-    minutes = _number(F.substring(digits, 1, 2)) * 60 + _number(F.substring(digits, 3, 2))
-    written = local - F.when(F.startswith(mark, F.lit("-")), -minutes).otherwise(minutes) * 60_000_000
-
-    def zoned(guess: Column) -> Column:
-        there = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(guess), zone))
-        utc = local - (there - guess)
-        back = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), zone))
-        fits = (back == local) & ((mark == "") | F.coalesce(F.array_contains("offsets", local - utc), F.lit(False)))
-        return F.when(fits, utc)
-
-    none = F.array().cast("array<bigint>")
-    return (
-        F.when(local.isNull(), none)
-        .when(mark.rlike("^[+-]"), F.array(written))
-        .when(mark.isin("Z", "UTC") | ((mark == "GMT") & F.col("offsets").isNull()), F.array(local))
-        .when(zone.isNull(), none)
-        .otherwise(F.array_distinct(F.array_compact(F.array(zoned(local - DAY_US), zoned(local + DAY_US)))))
-    )
+    """Digits as a number. A failing try_cast costs an exception a row, so empty parts are never cast."""
+    return F.when(part != "", part.try_cast("bigint"))
+
+
+_MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+_BEFORE = tuple(sum(_MONTH_DAYS[:k]) for k in range(12))
+
+
+def _jan1(year: Column) -> Column:
+    """Days from 1970 to the first day of a year."""
+    return (year - 1970) * 365 + F.floor((year - 1969) / 4) - F.floor((year - 1901) / 100) + F.floor((year - 1601) / 400)
+
+
+def _date(month: Column, day: Column) -> Column:
+    """Days since 1970 of a date in the row's year (columns jan1, leap); null where there is no such date."""
+    within = F.try_element_at(F.array(*map(F.lit, _MONTH_DAYS)), month.cast("int")) + F.when((month == 2) & F.col("leap"), 1).otherwise(0)
+    before = F.try_element_at(F.array(*map(F.lit, _BEFORE)), month.cast("int")) + F.when((month > 2) & F.col("leap"), 1).otherwise(0)
+    return F.when((month >= 1) & (month <= 12) & (day >= 1) & (day <= within), F.col("jan1") + before + day - 1)
+
+
+def _monday(jan1: Column) -> Column:
+    """Monday of the first ISO week: of the week that holds 4 January."""
+    return jan1 + 3 - F.pmod(jan1 + 6, F.lit(7))
+
+
+def _in_zone(local: Column, near: Column) -> Column:
+    """The instant of a local time if the zone's offset at the given time holds."""
+    return local - (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(near), F.col("zone"))) - near)
+
+
+def _confirmed(utc: Column, local: Column, settled: Column) -> Column:
+    """The instant if the zone's clock then shows the local time (known where the offset is settled: the same a day before
+    and after) and the written abbreviation, if any, holds."""
+    shows = lambda: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), F.col("zone"))) == local
+    named = (F.col("mark") == "") | F.coalesce(F.array_contains("offsets", local - utc), F.lit(False))
+    return F.when(named & F.when(settled, True).otherwise(shows()), utc)
 
 
 def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
-    """rows (tab, row_id, field, producer, text) with `candidates`, an array of (notation, utc_us, cost)."""
+    """rows (tab, row_id, field, producer, text) with `candidates`, an array of (notation, utc_us, cost).
+
+    Computed in stages, each on the columns of the one before, so that the generated code stays small."""
     zones = producers.select(identifier(F.col("producer")).alias("source"), F.col("time_zone").alias("zone"), F.col("date_order"))
-    s = F.btrim("text", F.lit(WHITE))
     notation = F.lit(None).cast("int")
     spread = F.lit(None).cast("string")
     for name, pattern, groups in reversed(NOTATIONS):
         at = {part: f"${i}" for i, part in enumerate(groups.split(), 1)}
         layout = "|".join(at.get(part, "") for part in PARTS)
-        hit = F.col("trimmed").rlike(pattern)
-        notation = F.when(hit, CODE[name]).otherwise(notation)
+        notation = F.when(F.col("trimmed").rlike(pattern), CODE[name]).otherwise(notation)
         spread = F.when(F.col("notation") == CODE[name], F.regexp_replace("trimmed", pattern, layout)).otherwise(spread)
-    read = (
-        rows.withColumn("source", identifier(F.col("producer")))
-        .withColumn("trimmed", s)
-        .withColumn("notation", notation)
-        .withColumn("parts", F.split(spread, r"\|", -1))
-        .join(zones, "source", "left")
-        .withColumn("mark", F.upper(F.coalesce(F.get("parts", F.lit(PARTS.index("mark"))), F.lit(""))))
-        .join(abbreviations(rows.sparkSession), ["zone", "mark"], "left")
-    )
-    text = {part: F.coalesce(F.get("parts", F.lit(i)), F.lit("")) for i, part in enumerate(PARTS)}
-    num = {part: _number(text[part]) for part in PARTS}
-    names = F.create_map(*[x for i, group in enumerate(MONTHS, 1) for name in group.split() for x in (F.lit(name), F.lit(i))])
-    weekdays = F.create_map(*[x for i, name in enumerate(WEEKDAYS) for x in (F.lit(name), F.lit(i))])
-
-    half = F.upper(text["half"])
-    hour = F.coalesce(num["h"], F.lit(0))
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    minute, second = F.coalesce(num["mi"], F.lit(0)), F.coalesce(num["s"], F.lit(0))
-    fraction = _number(F.rpad(F.substring(text["frac"], 1, 6), 6, "0"))
-    clock = F.when((hour < 24) & (minute < 60) & (second < 60), ((hour * 60 + minute) * 60 + second) * 1_000_000 + fraction)
-
-    year = num["y"] + F.when((F.col("notation") == CODE["slash"]) & (F.length(text["y"]) == 2), 2000).otherwise(0)
-    one = F.lit(1)
-    first_day = _days(year, one, one)
-    of_year = F.when(num["doy"].between(1, 365) | ((num["doy"] == 366) & (_days(year + 1, one, one) - first_day == 366)), first_day + num["doy"] - 1)
-    fourth = _days(year, one, F.lit(4))
-    monday = fourth - (fourth + 3) % 7
-    next_fourth = _days(year + 1, one, F.lit(4))
-    weeks = (next_fourth - (next_fourth + 3) % 7 - monday) / 7
-    of_week = F.when((num["week"] >= 1) & (num["week"] <= weeks) & num["wd"].between(1, 7), monday + (num["week"] - 1) * 7 + num["wd"] - 1)
-    dated = _days(year, F.coalesce(num["mo"], F.try_element_at(names, F.lower(text["month"])).cast("bigint")), num["d"])
-    same_weekday = (text["wday"] == "") | (F.try_element_at(weekdays, F.lower(text["wday"])) == (dated + 3) % 7)
-    plain = F.when(F.col("notation") == CODE["ordinal"], of_year).when(F.col("notation") == CODE["week"], of_week).when(same_weekday, dated)
-    dmy, mdy = _days(year, num["b"], num["a"]), _days(year, num["a"], num["b"])
-    slash = F.col("notation") == CODE["slash"]
+    keep = ["tab", "row_id", "field", "text", "source"]
+    read = rows.withColumn("source", identifier(F.col("producer"))).select(*keep, F.btrim("text", F.lit(WHITE)).alias("trimmed"))
+    read = read.withColumn("notation", notation).withColumn("parts", F.split(spread, r"\|", -1))
+
+    part = lambda name: F.coalesce(F.get("parts", F.lit(PARTS.index(name))), F.lit(""))
+    numbers = ("y", "mo", "d", "doy", "week", "wd", "h", "mi", "s", "a", "b", "unix")
+    texts = [F.upper(part(n)).alias(n) for n in ("half", "mark", "month", "wday", "frac")]
+    read = read.select(*keep, "notation", *[_number(part(n)).alias(n) for n in numbers], *texts, F.length(part("y")).alias("y_width"), F.length(part("unix")).alias("digits"))
+    read = read.join(zones, "source", "left").join(abbreviations(rows.sparkSession), ["zone", "mark"], "left")
+
+    names = F.create_map(*[x for i, group in enumerate(MONTHS, 1) for name in group.split() for x in (F.lit(name.upper()), F.lit(i))])
+    weekdays = F.create_map(*[x for i, name in enumerate(WEEKDAYS) for x in (F.lit(name.upper()), F.lit(i))])
+    slash, coded = F.col("notation") == CODE["slash"], F.col("notation")
+    year = F.col("y") + F.when(slash & (F.col("y_width") == 2), 2000).otherwise(0)
+    h = F.coalesce("h", F.lit(0))
+    hour = F.when(F.col("half") == "", h).when((h >= 1) & (h <= 12), h % 12 + F.when(F.col("half") == "PM", 12).otherwise(0))
+    read = read.withColumns({
+        "year": F.when(year >= 1, year), "hour": hour, "minute": F.coalesce("mi", F.lit(0)), "second": F.coalesce("s", F.lit(0)),
+        "fraction": _number(F.rpad(F.substring("frac", 1, 6), 6, "0")), "mo": F.coalesce("mo", F.try_element_at(names, F.col("month")).cast("bigint")),
+        "weekday": F.try_element_at(weekdays, F.col("wday")), "mdy": F.coalesce(F.col("date_order") == "MDY", F.lit(False)),
+    })
+    read = read.withColumns({
+        "jan1": _jan1(F.col("year")), "next1": _jan1(F.col("year") + 1), "leap": ((F.col("year") % 4 == 0) & (F.col("year") % 100 != 0)) | (F.col("year") % 400 == 0),
+        "clock": F.when((F.col("hour") < 24) & (F.col("minute") < 60) & (F.col("second") < 60), ((F.col("hour") * 60 + F.col("minute")) * 60 + F.col("second")) * 1_000_000 + F.col("fraction")),
+        "month1": F.when(slash, F.when(F.col("mdy"), F.col("a")).otherwise(F.col("b"))).otherwise(F.col("mo")), "day1": F.when(slash, F.when(F.col("mdy"), F.col("b")).otherwise(F.col("a"))).otherwise(F.col("d")),
+        "month2": F.when(slash, F.when(F.col("mdy"), F.col("b")).otherwise(F.col("a"))), "day2": F.when(slash, F.when(F.col("mdy"), F.col("a")).otherwise(F.col("b"))),
+    })
+    read = read.withColumns({"date1": _date(F.col("month1"), F.col("day1")), "date2": _date(F.col("month2"), F.col("day2"))})
+    monday, weeks = _monday(F.col("jan1")), (_monday(F.col("next1")) - _monday(F.col("jan1"))) / 7
+    of_week = F.when((F.col("week") >= 1) & (F.col("week") <= weeks) & F.col("wd").between(1, 7), monday + (F.col("week") - 1) * 7 + F.col("wd") - 1)
+    of_year = F.when((F.col("doy") >= 1) & (F.col("doy") <= F.col("next1") - F.col("jan1")), F.col("jan1") + F.col("doy") - 1)
+    same_weekday = (F.col("wday") == "") | (F.col("weekday") == F.pmod(F.col("date1") + 3, F.lit(7)))
+    day = F.when(coded == CODE["ordinal"], of_year).when(coded == CODE["week"], of_week).when(same_weekday, F.col("date1"))
+    read = read.withColumns({"local1": day * DAY_US + F.col("clock"), "local2": F.col("date2") * DAY_US + F.col("clock")})
+
+    mark = F.col("mark")
+    offset = F.rpad(F.regexp_replace(F.substring(mark, 2, 5), ":", ""), 4, "0")
+    minutes = _number(F.substring(offset, 1, 2)) * 60 + _number(F.substring(offset, 3, 2))
+    signed = F.when(F.startswith(mark, F.lit("-")), -minutes).otherwise(minutes) * 60_000_000
+    utc_word = mark.isin("Z", "UTC") | ((mark == "GMT") & F.col("offsets").isNull())
+    read = read.withColumn("fixed", F.when(mark.rlike("^[+-]"), signed).when(utc_word, 0).cast("bigint"))
+    for k in (1, 2):
+        # zone lookups are the dear part: none for texts with an offset of their own, two for most others
+        read = read.withColumn(f"wall{k}", F.when(F.col("fixed").isNull(), F.col(f"local{k}")))
+        local, early, late = F.col(f"wall{k}"), F.col(f"early{k}"), F.col(f"late{k}")
+        read = read.withColumns({f"early{k}": _in_zone(local, local - DAY_US), f"late{k}": _in_zone(local, local + DAY_US)})
+        read = read.withColumns({f"early{k}": _confirmed(early, local, early == late), f"late{k}": F.when(late != early, _confirmed(late, local, F.lit(False)))})
 
     def candidate(code: Column, utc: Column, cost: Column) -> Column:
-        return F.struct(code.cast("int").alias("notation"), utc.alias("utc_us"), cost.cast("double").alias("cost"))
-
-    def as_candidates(utcs: Column, code: Column, cost: Column) -> Column:
-        return F.transform(utcs, lambda u: candidate(code, u, cost))
-
-    whole, bare = num["unix"], text["frac"] == ""
-    units = []
-    for power in (0, 3, 6, 9):
-        seconds = F.call_function("div", whole, F.lit(10**power))
-        micro = F.call_function("div", whole, F.lit(1000)) if power == 9 else whole * 10 ** (6 - power)
-        in_range = (F.length(text["unix"]) <= 11 + power) & (F.length(text["unix"]) >= 9 + power)
-        fits = (F.col("notation") == CODE["unix"]) & in_range & (seconds >= FIRST_UNIX) & (seconds < LAST_UNIX) & (bare | F.lit(power == 0))
-        units.append(F.when(fits, candidate(F.lit(100 + power), micro + F.when(bare, 0).otherwise(fraction), F.lit(0.0))))
-
-    read = (
-        read.withColumn("local", F.when(~slash, plain * DAY_US + clock))
-        .withColumn("local_dmy", F.when(slash, dmy * DAY_US + clock))
-        .withColumn("local_mdy", F.when(slash, mdy * DAY_US + clock))
-    )
-    code = F.col("notation")
-    order_cost = lambda order: F.when(F.col("date_order") == order, 0.0).otherwise(WRONG_ORDER)
+        one = F.struct(code.cast("int").alias("notation"), utc.cast("bigint").alias("utc_us"), cost.cast("double").alias("cost"))
+        return F.when(utc.isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<notation:int,utc_us:bigint,cost:double>>"))
+
+    power = F.when(F.col("digits") <= 11, 0).when(F.col("digits") <= 14, 3).when(F.col("digits") <= 17, 6).otherwise(9)
+    scaled = lambda by: F.call_function("div", F.col("unix"), F.lit(by))
+    seconds = F.when(power == 0, F.col("unix")).when(power == 3, scaled(10**3)).when(power == 6, scaled(10**6)).otherwise(scaled(10**9))
+    read = read.withColumns({"power": power, "seconds": seconds})
+    plausible = (coded == CODE["unix"]) & (F.col("seconds") >= FIRST_UNIX) & (F.col("seconds") < LAST_UNIX) & ((F.col("frac") == "") | (F.col("power") == 0))
+    unix, whole = F.col("unix"), F.col("power")
+    micro = F.when(whole == 0, F.col("seconds") * 1_000_000 + F.col("fraction")).when(whole == 3, unix * 1000).when(whole == 6, unix).otherwise(scaled(1000))
+    known_order = F.col("date_order").isin("DMY", "MDY")
+    code1 = F.when(slash, F.when(F.col("mdy"), 201).otherwise(200)).otherwise(coded)
+    code2 = F.when(F.col("mdy"), 200).otherwise(201)
+    cost1 = F.when(slash & ~F.coalesce(known_order, F.lit(False)), WRONG_ORDER).otherwise(0.0)
+    exact = lambda local: F.when(F.col("fixed").isNotNull(), local - F.col("fixed"))
+    none = F.array().cast("array<struct<notation:int,utc_us:bigint,cost:double>>")
     found = F.concat(
-        as_candidates(_utc_of(F.col("local")), code, F.lit(0.0)),
-        as_candidates(_utc_of(F.col("local_dmy")), F.lit(200), order_cost("DMY")),
-        as_candidates(_utc_of(F.col("local_mdy")), F.lit(201), order_cost("MDY")),
-        F.array_compact(F.array(*units)),
-    )
-    return read.select("tab", "row_id", "field", "source", "text", found.alias("candidates"))
+        candidate(code1, F.coalesce(exact(F.col("local1")), F.col("early1")), cost1), candidate(code1, F.col("late1"), cost1),
+        candidate(code2, F.coalesce(exact(F.col("local2")), F.col("early2")), F.lit(WRONG_ORDER)), candidate(code2, F.col("late2"), F.lit(WRONG_ORDER)),
+        candidate(F.lit(100) + whole, F.when(plausible, micro), F.lit(0.0)),
+    )
+    return read.select(*keep, F.coalesce(found, none).alias("candidates"))
 
 
 def cheapest_path(codes: list[list[int]], utcs: list[list[int]], costs: list[list[float]]) -> list[int]:

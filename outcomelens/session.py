@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "outcomelens-cut"
+_SHIPPED: set[str] = set()
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -30,12 +35,27 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> S
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """All operators read wall-clock columns as UTC, whatever the session was started with."""
+    """All operators read wall-clock columns as UTC, whatever the session was started with; and the Python workers must
+    find this package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # methods beyond this many bytes are never compiled by the JVM, so whole-stage code that big is slower than none
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless they inherit a path to it; once an application."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if root in map(Path, [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="outcomelens-code-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/outcomelens", "zip", root, "outcomelens"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's spark.checkpoint.dir, else (tests) a local one set here."""
     context = spark.sparkContext

@@ -74,8 +74,8 @@ def abbreviations(spark: SparkSession) -> DataFrame:
 
 
 def _number(part: Column) -> Column:
-    """Digits as a number. A failing try_cast costs an exception a row, so empty parts are never cast."""
-    return F.when(part != "", part.try_cast("bigint"))
+    """Digits as a number. A failing try_cast costs an exception a row: empty parts must be null."""
+    return part.try_cast("bigint")
 
 
 _MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
@@ -104,12 +104,13 @@ def _in_zone(local: Column, near: Column) -> Column:
     return local - (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(near), F.col("zone"))) - near)
 
 
-def _confirmed(utc: Column, local: Column, settled: Column) -> Column:
-    """The instant if the zone's clock then shows the local time (known where the offset is settled: the same a day before
-    and after) and the written abbreviation, if any, holds."""
-    shows = lambda: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), F.col("zone"))) == local
-    named = (F.col("mark") == "") | F.coalesce(F.array_contains("offsets", local - utc), F.lit(False))
-    return F.when(named & F.when(settled, True).otherwise(shows()), utc)
+def _instants(local: Column, early: Column, late: Column) -> Column:
+    """The instants at which the zone's clock shows the local time: of the offsets a day before and after, those that hold
+    then (always, where both are the same) and bear the written abbreviation, if there is one."""
+    settled = early == late
+    shows = lambda utc: F.when(settled, True).otherwise(F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), F.col("zone"))) == local)
+    named = lambda utc: (F.col("mark") == "") | F.coalesce(F.array_contains("offsets", local - utc), F.lit(False))
+    return F.filter(F.array_distinct(F.array(early, late)), lambda utc: utc.isNotNull() & named(utc) & shows(utc))
 
 
 def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
@@ -126,12 +127,14 @@ def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
         spread = F.when(F.col("notation") == CODE[name], F.regexp_replace("trimmed", pattern, layout)).otherwise(spread)
     keep = ["tab", "row_id", "field", "text", "source"]
     read = rows.withColumn("source", identifier(F.col("producer"))).select(*keep, F.btrim("text", F.lit(WHITE)).alias("trimmed"))
-    read = read.withColumn("notation", notation).withColumn("parts", F.split(spread, r"\|", -1))
+    read = read.withColumn("notation", notation).withColumn("parts", F.transform(F.split(spread, r"\|", -1), lambda p: F.nullif(p, F.lit(""))))
 
     part = lambda name: F.coalesce(F.get("parts", F.lit(PARTS.index(name))), F.lit(""))
     numbers = ("y", "mo", "d", "doy", "week", "wd", "h", "mi", "s", "a", "b", "unix")
     texts = [F.upper(part(n)).alias(n) for n in ("half", "mark", "month", "wday", "frac")]
-    read = read.select(*keep, "notation", *[_number(part(n)).alias(n) for n in numbers], *texts, F.length(part("y")).alias("y_width"), F.length(part("unix")).alias("digits"))
+    read = read.withColumn("numbers", F.transform("parts", _number))
+    number = lambda name: F.get("numbers", F.lit(PARTS.index(name))).alias(name)
+    read = read.select(*keep, "notation", *map(number, numbers), *texts, F.length(part("y")).alias("y_width"), F.length(part("unix")).alias("digits"))
     read = read.join(zones, "source", "left").join(abbreviations(rows.sparkSession), ["zone", "mark"], "left")
 
     names = F.create_map(*[x for i, group in enumerate(MONTHS, 1) for name in group.split() for x in (F.lit(name.upper()), F.lit(i))])
@@ -168,13 +171,13 @@ def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
     for k in (1, 2):
         # zone lookups are the dear part: none for texts with an offset of their own, two for most others
         read = read.withColumn(f"wall{k}", F.when(F.col("fixed").isNull(), F.col(f"local{k}")))
-        local, early, late = F.col(f"wall{k}"), F.col(f"early{k}"), F.col(f"late{k}")
+        local = F.col(f"wall{k}")
         read = read.withColumns({f"early{k}": _in_zone(local, local - DAY_US), f"late{k}": _in_zone(local, local + DAY_US)})
-        read = read.withColumns({f"early{k}": _confirmed(early, local, early == late), f"late{k}": F.when(late != early, _confirmed(late, local, F.lit(False)))})
+        exact = F.when(F.col("fixed").isNotNull() & F.col(f"local{k}").isNotNull(), F.array(F.col(f"local{k}") - F.col("fixed")))
+        read = read.withColumn(f"instants{k}", F.coalesce(exact, _instants(local, F.col(f"early{k}"), F.col(f"late{k}"))))
 
-    def candidate(code: Column, utc: Column, cost: Column) -> Column:
-        one = F.struct(code.cast("int").alias("notation"), utc.cast("bigint").alias("utc_us"), cost.cast("double").alias("cost"))
-        return F.when(utc.isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<notation:int,utc_us:bigint,cost:double>>"))
+    def candidates(utcs: Column, code: Column, cost: Column) -> Column:
+        return F.transform(utcs, lambda utc: F.struct(code.cast("int").alias("notation"), utc.alias("utc_us"), cost.cast("double").alias("cost")))
 
     power = F.when(F.col("digits") <= 11, 0).when(F.col("digits") <= 14, 3).when(F.col("digits") <= 17, 6).otherwise(9)
     scaled = lambda by: F.call_function("div", F.col("unix"), F.lit(by))
@@ -187,14 +190,13 @@ def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
     code1 = F.when(slash, F.when(F.col("mdy"), 201).otherwise(200)).otherwise(coded)
     code2 = F.when(F.col("mdy"), 200).otherwise(201)
     cost1 = F.when(slash & ~F.coalesce(known_order, F.lit(False)), WRONG_ORDER).otherwise(0.0)
-    exact = lambda local: F.when(F.col("fixed").isNotNull(), local - F.col("fixed"))
-    none = F.array().cast("array<struct<notation:int,utc_us:bigint,cost:double>>")
+    none = F.array().cast("array<bigint>")
     found = F.concat(
-        candidate(code1, F.coalesce(exact(F.col("local1")), F.col("early1")), cost1), candidate(code1, F.col("late1"), cost1),
-        candidate(code2, F.coalesce(exact(F.col("local2")), F.col("early2")), F.lit(WRONG_ORDER)), candidate(code2, F.col("late2"), F.lit(WRONG_ORDER)),
-        candidate(F.lit(100) + whole, F.when(plausible, micro), F.lit(0.0)),
-    )
-    return read.select(*keep, F.coalesce(found, none).alias("candidates"))
+        candidates(F.coalesce("instants1", none), code1, cost1),
+        candidates(F.coalesce("instants2", none), code2, F.lit(WRONG_ORDER)),
+        candidates(F.when(plausible, F.array(micro)).otherwise(none), F.lit(100) + whole, F.lit(0.0)),
+    )
+    return read.select(*keep, found.alias("candidates"))
 
 
 def cheapest_path(codes: list[list[int]], utcs: list[list[int]], costs: list[list[float]]) -> list[int]:

@@ -39,8 +39,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     find this package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # methods beyond this many bytes are never compiled by the JVM, so whole-stage code that big is slower than none
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     _ship(spark)
     return spark
 

@@ -15,7 +15,8 @@ def finite(value: Column) -> Column:
 
 def safe_double(text: Column) -> Column:
     """The finite number a text spells, else null."""
-    return finite(F.btrim(text, F.lit(WHITE)).try_cast("double"))
+    bare = F.btrim(text, F.lit(WHITE))
+    return finite(F.when(bare != "", bare.try_cast("double")))
 
 
 def ratio(part: Column, whole: Column) -> Column:

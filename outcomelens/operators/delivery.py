@@ -127,8 +127,9 @@ def by_block(seen: DataFrame) -> DataFrame:
 
 
 def exact_key(ident: Column) -> Column:
-    """Half-size key: the 16 bytes of a UUID; other identifiers as their text with a mark that no UUID has."""
-    return F.when(ident.rlike(UUID), F.unhex(F.regexp_replace(ident, "-", ""))).otherwise(F.encode(F.concat(F.lit("id:               "), ident), "UTF-8"))
+    """Half-size key: the 16 bytes of a UUID; other identifiers as their text with a mark that makes it longer than those."""
+    packed = F.unhex(F.replace(ident, F.lit("-"), F.lit("")))
+    return F.when(ident.rlike(UUID), packed).otherwise(F.encode(F.concat(F.lit("id:               "), ident), "UTF-8"))
 
 
 def surplus_by_lookup(rows: DataFrame) -> DataFrame:
@@ -154,12 +155,17 @@ def keyed(rows: DataFrame, id_column: str, columns: list[str] = [], row_id: str
     return rows.select(key.alias("key"), F.col(row_id), *columns)
 
 
-def first_deliveries(rows: DataFrame, id_column: str, columns: list[str], row_id: str = "row_id") -> DataFrame:
+def first_deliveries(rows: DataFrame, id_column: str, columns: list[str], row_id: str = "row_id", prunable: bool = False) -> DataFrame:
     """One row per identifier (lowest row_id) with the given columns; rows without identifier all stay.
 
-    Aggregated before the shuffle, so an identifier may hold any share of the rows. Adds key and copies."""
+    Aggregated before the shuffle, so an identifier may hold any share of the rows. Adds key and copies. The columns
+    travel as one struct, or, if prunable, each by itself, so that those a query does not use are never read."""
+    groups = keyed(rows, id_column, columns, row_id).groupBy("key")
+    copies = F.count("*").alias("copies")
+    if prunable:
+        return groups.agg(copies, F.min(row_id).alias("row_id"), *[F.min_by(c, row_id).alias(c) for c in columns])
     best = F.min(F.struct(F.col(row_id).alias("row_id"), *columns)).alias("best")
-    return keyed(rows, id_column, columns, row_id).groupBy("key").agg(best, F.count("*").alias("copies")).select("key", "copies", "best.*")
+    return groups.agg(best, copies).select("key", "copies", "best.*")
 
 
 def ranges(sequences: DataFrame, seen: DataFrame | None = None) -> DataFrame:

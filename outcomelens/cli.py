@@ -1,4 +1,4 @@
-"""python -m outcomelens.cli run | backtest | scan | outcomes | export-json | verify-env. Exit 0: done; 1: refused or no usable data; 2: unreadable input."""
+"""python -m outcomelens.cli run | backtest | scan | outcomes | export-json | soak | verify-env. Exit 0: done; 1: refused or no usable data; 2: unreadable input."""
 
 from __future__ import annotations
 
@@ -40,6 +40,9 @@ def parser() -> argparse.ArgumentParser:
     export = commands.add_parser("export-json")
     export.add_argument("dataset")
     export.add_argument("--no-indent", action="store_true")
+    soak = commands.add_parser("soak")
+    soak.add_argument("--signals", type=int, default=40)
+    soak.add_argument("--seed", type=int, default=7)
     commands.add_parser("verify-env")
     return top
 
@@ -52,7 +55,7 @@ def main(arguments: list[str] | None = None) -> int:
     if chosen.command == "verify-env":
         print("ok")
         return 0
-    if chosen.command != "run" and not Path(chosen.dataset).is_file():
+    if chosen.command not in ("run", "soak") and not Path(chosen.dataset).is_file():
         print(f"no such file: {chosen.dataset}", file=sys.stderr)
         return 2
     spark = get_session()
@@ -61,6 +64,11 @@ def main(arguments: list[str] | None = None) -> int:
 
         print(run(spark, chosen.out, chosen.name, options=chosen.options, trades=chosen.trades, generic=chosen.generic)["report"])
         return 0
+    if chosen.command == "soak":
+        from outcomelens.sources import synthetic
+
+        print(render.markdown(sections.soak_sections(*synthetic.inputs(spark, chosen.signals, chosen.seed)), "soak"))
+        return 0
     if chosen.command == "export-json":
         try:
             events = files.read_event_fixture(spark, chosen.dataset)

@@ -26,7 +26,7 @@ def invalid_reason(source: Column, kind: Column, strategy: Column, ts: Column, s
 def raw_events(rows: DataFrame) -> DataFrame:
     """First delivery of every event, with the columns promoted from its metadata and the rule it breaks, if any."""
     columns = ["event_id", "source_bot", "event_type", "strategy_id", "timestamp", "regime", "score", "realized_pnl", "outcome", "metadata"]
-    once = delivery.first_deliveries(rows, "event_id", columns)
+    once = delivery.first_deliveries(rows, "event_id", columns, prunable=True)
     meta = F.from_json("metadata", METADATA)
     broken = invalid_reason(F.col("source_bot"), F.col("event_type"), F.col("strategy_id"), F.col("timestamp"), F.col("score"))
     return once.withColumn("m", meta).select(

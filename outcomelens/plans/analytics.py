@@ -12,6 +12,7 @@ from outcomelens.gates import floor, trend
 from outcomelens.operators import backtest, bars, correlation, merging, outcomes, performance, sequences
 from outcomelens.operators import events as tactical
 from outcomelens.schema import AUDIT_REGIMES, EXPORT_REGIMES, FLOOR_REGIMES, REGIMES, SETUPS
+from outcomelens.session import cut
 from outcomelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,12 +48,20 @@ def _mean(x: str) -> str:
     return f"round(cast(sum(cast({x} as decimal(28,9))) as double) / nullif(count({x}), 0), 6)"
 
 
-def _event_query(operator: Callable[[DataFrame], DataFrame], *drop: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: operator(tactical.tactical_events(table(spark, d, "events_synthetic"))).drop(*drop)
+#: What operators that read the events several times need of them; these events are written once.
+_CORE = ("seq", "ts", "event_type", "strategy_id", "regime", "score", "expected_rr", "pnl", "outcome", "data_is_real")
 
 
-def _events(name: str, operator: Callable[[DataFrame], DataFrame], select: str, *drop: str) -> None:
-    _add(name, _event_query(operator, *drop), f"with {TE} {select}")
+def _event_query(operator: Callable[[DataFrame], DataFrame], passes: int = 1) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        events = tactical.tactical_events(table(spark, d, "events_synthetic"))
+        return operator(cut(events.select(*_CORE)) if passes > 1 else events)
+
+    return query
+
+
+def _events(name: str, operator: Callable[[DataFrame], DataFrame], select: str, passes: int = 1) -> None:
+    _add(name, _event_query(operator, passes), f"with {TE} {select}")
 
 
 _add(
@@ -153,6 +162,7 @@ _events(
         union all select 'strategy_win_rate', strategy_id, round(count(*) filter (where trade and outcome = 'WIN') / nullif(count(*) filter (where trade), 0), 6) from te group by strategy_id
         union all select 'regime_win_rate', {_REG}, round(count(*) filter (where trade and outcome = 'WIN') / nullif(count(*) filter (where trade), 0), 6) from te group by {_REG}
         union all select 'regime_events', {_REG}, count(*) from te group by {_REG})""",
+    passes=3,
 )
 _events(
     "result_snapshot",
@@ -161,6 +171,7 @@ _events(
         (select strategy_id from (select strategy_id, round(wins / nullif(trade_outcomes, 0), 6) w, first_seq from ({_STATS}) where trade_outcomes > 0) order by w desc, first_seq limit 1) top_strategy,
         (select regime from (select {_REG} regime, count(*) filter (where trade) n, min(seq) f from te group by 1) order by n desc, f limit 1) top_regime_fit,
         (select avg_score from ({_QUALITY})) recommendation_quality_score, case when (select count(*) from te) = 0 then 'EMPTY' else 'OK' end status""",
+    passes=4,
 )
 
 # ---- sequences
@@ -201,10 +212,10 @@ _events("score_calibration", sequences.score_calibration, _BINS)
 _CALIBRATION = f"""select valid_bins, case when valid_bins >= 3 then round(rises / (valid_bins - 1), 3) end coefficient, coalesce(first > fifth, false) flagged from (
   select count(*) valid_bins, count(*) filter (where nxt > win_rate) rises from (select *, lead(win_rate) over (order by bin) nxt from bins where outcomes >= 5)),
   (select max(win_rate) filter (where bin = 1) first, max(win_rate) filter (where bin = 5) fifth from bins)"""
-_add("score_calibration_summary", _event_query(sequences.score_calibration_summary), f"with {TE}, bins as ({_BINS}) {_CALIBRATION}")
+_add("score_calibration_summary", _event_query(sequences.score_calibration_summary, 2), f"with {TE}, bins as ({_BINS}) {_CALIBRATION}")
 _add(
     "observations",
-    _event_query(sequences.observations),
+    _event_query(sequences.observations, 9),
     f"""with {TE}, bins as ({_BINS}), stats as (select *, round(wins / nullif(trade_outcomes, 0), 6) w from ({_STATS}) where trade_outcomes >= 5),
     rq as (select round(high_wins / nullif(high_count, 0), 6) h, round(low_wins / nullif(low_count, 0), 6) l from ({_QUALITY})),
     rej as (select round(count(*) filter (where event_type = 'REJECTION') / nullif(count(*) filter (where event_type = 'REJECTION' or trade), 0), 6) r from te)
@@ -223,6 +234,7 @@ _events(
     sequences.strategy_dashboard,
     f"""select s.strategy_id, trade_outcomes, wins, losses, round(wins / nullif(trade_outcomes, 0), 6) win_rate, total_pnl, coalesce(k.flagged, false) loss_streak, coalesce(e.warning, false) edge_erosion
         from ({_STATS}) s left join ({_STREAKS}) k on k.strategy_id = s.strategy_id left join ({_EROSION}) e on e.strategy_id = s.strategy_id""",
+    passes=3,
 )
 
 # ---- distributions and fit
@@ -593,7 +605,7 @@ _AS_OF = "2026-01-15 00:00:00"
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    events = tactical.tactical_events(table(spark, d, "events_synthetic"))
+    events = cut(tactical.tactical_events(table(spark, d, "events_synthetic")).select(*_CORE))
     last = events.groupBy("strategy_id").agg(F.max("ts").cast("timestamp").alias("produced_at"), F.bool_or("data_is_real").alias("data_is_real"))
     stats = performance.strategy_stats(events).select(F.col("strategy_id"), F.col("trade_outcomes").alias("sample_size"), F.col("avg_score").alias("confidence"), "win_rate")
     top = performance.strategy_top_regime(events).select("strategy_id", F.col("top_regime").alias("regime"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from outcomelens.operators import backtest, bars, outcomes, performance, sequences
+from outcomelens.operators import backtest, bars, correlation, outcomes, performance, sequences
 from outcomelens.report.render import Table, fetch
+from outcomelens.schema import REGIMES
 
 #: Wording of the observations.
 WORDING = {
@@ -46,6 +47,28 @@ def event_sections(events: DataFrame) -> list[Table]:
     ]
 
 
+def fit_sections(events: DataFrame, floor: int = 30) -> list[Table]:
+    """The regime and strategy fit as a list and as a grid; withheld rates stay empty, absent cells show a dash."""
+    grid = outcomes.regime_strategy_grid(events, floor)
+    cell = F.when(F.col("cell") == "shown", F.format_string("%.2f", "win_rate")).otherwise(F.col("cell"))
+    wide = grid.groupBy("strategy_id").pivot("regime", list(REGIMES)).agg(F.first(cell))
+    return [fetch("Fit", outcomes.regime_strategy_fit(events, floor), ["regime", "strategy_id"]), fetch("Grid", wide, ["strategy_id"])]
+
+
+def correlation_sections(streams: DataFrame, a: str, b: str) -> list[Table]:
+    """Correlation of two streams with what was left out, and its rolling variant."""
+    return [
+        fetch("Correlation", correlation.strategy_correlation(streams, a, b)),
+        fetch("Left out", correlation.correlation_exclusions(streams), ["stream", "reason"]),
+        fetch("Rolling correlation", correlation.rolling_correlation(streams, a, b), [F.desc("day")], 20),
+    ]
+
+
+def soak_sections(rows: DataFrame, signals: DataFrame, rules: backtest.BacktestRules = backtest.BacktestRules()) -> list[Table]:
+    """Backtest of synthetic setups, ranked by expectancy, with the verdict of the floor on each."""
+    return [fetch("Expectancy", backtest.setup_expectancy(backtest.backtest_trades(rows, signals, rules)), ["rank"])]
+
+
 def dashboard_sections(events: DataFrame) -> list[Table]:
     wanted = {"Executive summary", "Regimes", "Data quality", "Observations"}
     flags = fetch("Strategies", sequences.strategy_dashboard(events), [F.desc("trade_outcomes"), "strategy_id"])

@@ -31,7 +31,7 @@ def test_seen_ranges(batches):
 
 
 IDS = ["sig-00000001-001", " SIG-00000001-001\t", "sig-1-1", "sig-01-1", None, "", " n/a ", "-", "legacy-x", "LEGACY-X", "sgi-00000001-001", "sig-99999999-999", "sig-00000001-002",
-       "0a8b53be-f452-ee46-2d88-16fbba17fbf5", "0A8B53BE-F452-EE46-2D88-16FBBA17FBF5", "a-123456789-123456789-123456789", "sig-00000001-001", "x" * 5000]
+       "0a8b53be-f452-ee46-2d88-16fbba17fbf5", "0A8B53BE-F452-EE46-2D88-16FBBA17FBF5", "a-123456789-123456789-123456789", "sig-00000001-001", "x" * 5000, "zz8b53be-f452-ee46-2d88-16fbba17fbf5", "0a8b53bef452--ee46-2d88-16fbba17fb-f5", "0a8b53be-f452-ee46-2d88-16fbba17fbf", "-" * 36]
 
 
 def test_surplus_rows_match_brute_force(spark):

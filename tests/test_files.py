@@ -140,3 +140,31 @@ def test_unreadable_fixture(spark, tmp_path):
     put(tmp_path / "x.json", "?")
     with pytest.raises(ValueError):
         files.read_event_fixture(spark, str(tmp_path / "x.json"))
+
+
+def test_options_assessment(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from outcomelens.gates import provenance
+
+    at = datetime(2026, 1, 2, tzinfo=timezone.utc)
+    assert provenance.assess_options(spark, None, at) == ["folder missing"]
+    tmp_path.joinpath("o").mkdir()
+    assert len(provenance.assess_options(spark, str(tmp_path / "o"), at)) == 2
+    options(tmp_path / "o")
+    assert provenance.assess_options(spark, str(tmp_path / "o"), at) == ["snapshot missing"]
+    place = tmp_path / "o" / provenance.OPTIONS_SNAPSHOT
+    for text, expected in (("{", ["snapshot unreadable"]), ([], ["snapshot is no object"]), (dict(broker_execution_enabled=False, data_is_real=True, produced_at="2026-01-01T00:00:00Z"), []),
+                           (dict(broker_execution_enabled="no", data_is_real=1, produced_at="2025-12-01"), ["broker execution not declared off", "data not declared real", "older than allowed"])):
+        put(place, text)
+        assert provenance.assess_options(spark, str(tmp_path / "o"), at) == expected
+
+
+def test_fit_correlation_and_soak_sections(spark, capsys):
+    from outcomelens.plans import analytics
+    from outcomelens.report import render, sections
+
+    streams = analytics._all_real(spark, "/root/testdata/sf0.001")
+    text = render.markdown(sections.fit_sections(streams) + sections.correlation_sections(streams, "stock", "options"), "t")
+    assert "## Grid" in text and "## Rolling correlation" in text
+    assert cli.main(["soak", "--signals", "8"]) == 0 and "BREAKOUT" in capsys.readouterr().out

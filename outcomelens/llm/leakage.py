@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from outcomelens.llm.words import Hashes, bare_words
+from outcomelens.session import cut
 
 GRAM = 4
 RARE_ITEMS = 2
@@ -67,10 +68,10 @@ def seeds(items: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) that share at least LEAST_SEEDS seeds."""
-    rare = seeds(items)
+    rare = cut(seeds(items))
     wanted = None
     if 0 < rare.count() <= FILTER_BOUND:
-        array = np.unique(np.array([r.gram for r in rare.select("gram").distinct().toLocalIterator()], np.int64))
+        array = np.unique(rare.select("gram").toArrow().column("gram").to_numpy())
         wanted = docs.sparkSession.sparkContext.broadcast(array)
     found = docs.select("doc_id", "text").where("text is not null").mapInArrow(_gram_rows("doc_id", wanted), "doc_id bigint, gram bigint")
     shared = found.distinct().join(rare, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("seeds"))

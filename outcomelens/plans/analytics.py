@@ -483,7 +483,14 @@ _add(
     f"""with recursive {_CHECKED}, {_BN}, {_MACD} select symbol, case when i >= 35 then 'OK' else 'FAIL_CLOSED' end status, case when i >= 35 then round(f - s, 6) end macd, case when i >= 35 then round(g, 6) end signal,
     case when i >= 35 then round(f - s - g, 6) end histogram from (select *, row_number() over (partition by symbol order by i desc) k from ema) where k = 1""",
 )
-_add("indicator_report", lambda spark, d: bars.indicator_report(_valid(spark, d)))
+_add(
+    "indicator_report",
+    lambda spark, d: bars.indicator_report(_valid(spark, d)),
+    f"""with recursive {_CHECKED}, {_BN}, {_MACD}, las as (select symbol, max(dt) dt from b group by 1),
+    m as (select symbol, i >= 35 ok, case when i >= 35 then round(f - s, 6) end macd, case when i >= 35 then round(g, 6) end signal from (select *, row_number() over (partition by symbol order by i desc) k from ema) where k = 1)
+    select m.symbol, m.macd, m.signal, o.mid, o.percent_b, v.direction, case when m.ok and o.status = 'OK' and v.direction <> 'none' then 'OK' else 'FAIL_CLOSED' end status
+    from m join las on las.symbol = m.symbol join ({_BOLL}) o on o.symbol = las.symbol and o.dt = las.dt join ({_VOLT}) v on v.symbol = las.symbol and v.dt = las.dt""",
+)
 
 # ---- backtest
 

@@ -184,5 +184,9 @@ SQL: dict[str, str] = {
     "p2_found": f"with {_DAYS_SQL} select strategy_id, strftime(dy, '%Y-%m-%d') as \"day\" from roll where t7 < 0 and t30 > 0",
     "p2_rolling": f"""with {_DAYS_SQL} select strategy_id, dy as \"day\", cast(t7 as double) / 100 total_7, cast(t30 as double) / 100 total_30,
         round(cast(t7 as double) / 700, 6) average_7, round(cast(t30 as double) / 3000, 6) average_30 from roll""",
+    "p3_ranges": f"""with ids as (select distinct k from (select {identifier_sql('signal_id')} k from decision_audit_trail) where regexp_matches(k, '{delivery.SEQUENCE}')),
+        n as (select regexp_extract(k, '^[a-z]+') || '/' || array_to_string(list_transform(string_split(regexp_replace(k, '^[a-z]+-', ''), '-'), lambda x: cast(length(x) as varchar)), '.') producer,
+          cast(regexp_replace(k, '[^0-9]', '', 'g') as bigint) v from ids where length(regexp_replace(k, '[^0-9]', '', 'g')) <= 18)
+        select producer, min(v) low, max(v) high from (select producer, v, v - row_number() over (partition by producer order by v) g from n) group by producer, g""",
     "p3_found": f"{_surplus_sql('events_synthetic', 'event_id')} union all {_surplus_sql('decision_audit_trail', 'signal_id')}",
 }

@@ -1,16 +1,16 @@
 """Evaluation passages inside training texts.
 
-Word n-grams that occur in at most RARE_ITEMS of the test items are the seeds. A document and an item that share at least
-LEAST_SEEDS different seeds are aligned word by word (Smith-Waterman, local). Of the best alignment the coherent
+All word n-grams of a passage are its seeds, however many items share them. A document and a passage that share at least
+LEAST_SEEDS of them are aligned word by word (Smith-Waterman, local). Of the best alignment the coherent
 stretches are taken (at least LEAST_WORDS matching words that are a share of IDENTITY of the columns), their words are
 masked, and so on until no alignment has LEAST_WORDS matches. The pair is a leak if its stretches hold at least SHARE of
 the words of the item's passage. Words are compared without layout, case, punctuation, markup and escapes; reordered
 sentences align as stretches of their own, changed words inside them as mismatches.
 
-A document's n-grams are filtered against those of the items before any shuffle when the items' hashes fit a checked
-bound, and joined unfiltered beyond it; both give the same rows. A seed belongs to at most RARE_ITEMS items, so the seed
-join cannot multiply, however many documents carry it. Whole texts are searched; only the surroundings of shared n-grams
-are aligned, which loses nothing, as a stretch without any shared n-gram of its item cannot reach IDENTITY.
+Items with the same passage are one class, searched and aligned once; its members all come out. While the seeds fit a
+checked bound they are broadcast and a document's classes are counted where it is read, so seeds in many passages multiply
+nothing that is shuffled; beyond it they are joined. Both give the same rows. Whole texts are searched; only the
+surroundings of shared n-grams are aligned, which loses nothing, as a stretch without any shared n-gram of its item cannot reach IDENTITY.
 
 Null and empty texts or passages leak nothing. Repeated document rows come out once.
 """
@@ -27,55 +27,111 @@ from outcomelens.llm.words import Hashes, bare_words
 from outcomelens.session import cut
 
 GRAM = 4
-RARE_ITEMS = 2
 LEAST_SEEDS = 3
 LEAST_WORDS = 8
 IDENTITY = 0.75
 BREAK = 4
 SHARE = 0.25
 MATCH, MISMATCH, GAP = 4, -3, -3
-FILTER_BOUND = 4_000_000  # item n-grams (8 bytes each) up to which the filter is broadcast
+FILTER_BOUND = 4_000_000  # seeds (20 bytes each) up to which they are broadcast
 
 
-def _gram_rows(key: str, wanted=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The distinct n-grams of every text as (key, gram); only those in the sorted array wanted, if given."""
+def _filters(length: int) -> list[tuple[int, int]]:
+    """(n, need): a passage of so many words is a candidate where a text has at least `need` of its n-grams, for each n."""
+    return [(GRAM, LEAST_SEEDS)]
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
+    for batch in batches:
+        rows = []
+        for ident, text in zip(batch.column("class_id").to_pylist(), batch.column("passage").to_pylist()):
+            words = bare_words(text)
+            filters = _filters(len(words)) if words else []
+            for n, need in filters:
+                grams, times = np.unique(hashes.grams(words, n), return_counts=True)
+                rows += [(ident, n, need, len(filters), int(g), int(k)) for g, k in zip(grams, times)]
+        columns = zip(*rows) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["class_id", "size", "need", "filters", "gram", "times"])
+
+
+def seeds(passages: DataFrame) -> DataFrame:
+    """(class_id, size, need, filters, gram, times) of all n-grams of every passage: how often the passage has the gram, how
+    many of that size a text needs, and how many sizes there are."""
+    return passages.mapInArrow(_seed_rows, "class_id bigint, size bigint, need bigint, filters bigint, gram bigint, times bigint")
+
+
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, list[tuple]]:
+    """The classes, and for each size, the largest first, its distinct grams, where the rows of each begin, the rows' classes
+    and times, and the need of every class (zero where it has no grams of that size)."""
+    columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
+    classes, owner = np.unique(columns["class_id"], return_inverse=True)
+    out = []
+    for size in np.unique(columns["size"])[::-1].tolist():
+        at = np.flatnonzero(columns["size"] == size)
+        at = at[np.argsort(columns["gram"][at], kind="stable")]
+        grams, starts = np.unique(columns["gram"][at], return_index=True)
+        need = np.zeros(len(classes), np.int64)
+        need[owner[at]] = columns["need"][at]
+        out.append((size, grams, np.r_[starts, len(at)], owner[at].astype(np.int32), columns["times"][at].astype(np.int32), need))
+    return classes, out
+
+
+def _counted(found: np.ndarray, grams: np.ndarray, starts: np.ndarray, owner: np.ndarray, times: np.ndarray, classes: int) -> np.ndarray:
+    """How many grams of each class are among the distinct ones found."""
+    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+    at = at[grams[at] == found]
+    many = starts[at + 1] - starts[at]
+    rows = np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return np.bincount(owner[rows], times[rows], classes)
+
+
+def _near(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, class_id) of the classes of which a text has enough grams of every size."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        chosen = wanted.value if wanted is not None else None
+        classes, sizes = shared.value
         for batch in batches:
-            keys, grams = [], []
+            docs, found = [], []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.unique(hashes.grams(bare_words(text), GRAM))
-                if chosen is not None and len(found):
-                    at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
-                    found = found[chosen[at] == found]
-                if len(found):
-                    keys.append(np.full(len(found), ident, np.int64))
-                    grams.append(found)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams))], [key, "gram"])
+                codes, left = hashes.words(bare_words(text)), np.ones(len(classes), bool)
+                for size, *index, need in sizes:
+                    if (left & (need > 0)).any():
+                        left &= _counted(np.unique(hashes.roll(codes, size)), *index, len(classes)) >= need
+                found.append(classes[left])
+                docs.append(np.full(len(found[-1]), ident, np.int64))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(found))], ["doc_id", "class_id"])
 
     return rows
 
 
-def seeds(items: DataFrame) -> DataFrame:
-    """(item_id, gram) of the n-grams found in at most RARE_ITEMS items."""
-    grams = items.select("item_id", "passage").mapInArrow(_gram_rows("item_id"), "item_id bigint, gram bigint").distinct()
-    few = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") <= RARE_ITEMS).select("gram")
-    return grams.join(few, "gram")
+def _gram_rows(sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct n-grams of every text, of all sizes, as (doc_id, gram)."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = hashes.words(bare_words(text))
+                found = np.unique(np.concatenate([hashes.roll(codes, n) for n in sizes]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ident, np.int64)), pa.array(found)], ["doc_id", "gram"])
+
+    return rows
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) that share at least LEAST_SEEDS seeds."""
-    rare = cut(seeds(items))
-    wanted = None
-    if 0 < rare.count() <= FILTER_BOUND:
-        array = np.unique(rare.select("gram").toArrow().column("gram").to_numpy())
-        wanted = docs.sparkSession.sparkContext.broadcast(array)
-    found = docs.select("doc_id", "text").where("text is not null").mapInArrow(_gram_rows("doc_id", wanted), "doc_id bigint, gram bigint")
-    shared = found.distinct().join(rare, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("seeds"))
-    return shared.where(F.col("seeds") >= LEAST_SEEDS).select("doc_id", "item_id")
+
+def candidates(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, class_id) that share enough seeds, of (class_id, passage)."""
+    known = cut(seeds(passages))
+    texts = docs.select("doc_id", "text").where("text is not null")
+    if 0 < known.count() <= FILTER_BOUND:
+        shared = docs.sparkSession.sparkContext.broadcast(_sorted(known.toArrow()))
+        return texts.mapInArrow(_near(shared), "doc_id bigint, class_id bigint").distinct()
+    sizes = [r["size"] for r in known.select("size").distinct().collect()] or [GRAM]
+    found = texts.mapInArrow(_gram_rows(sizes), "doc_id bigint, gram bigint").distinct().join(known, "gram")
+    enough = found.groupBy("doc_id", "class_id", "size", "need", "filters").agg(F.sum("times").alias("n")).where("n >= need")
+    return enough.groupBy("doc_id", "class_id", "filters").agg(F.count("*").alias("n")).where("n = filters").select("doc_id", "class_id")
 
 
 def align(passage: np.ndarray, text: np.ndarray) -> list[tuple[int, int, bool]]:
@@ -160,13 +216,14 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if passage not in words:
                 words[passage] = bare_words(passage)
             shares.append(leaked_share(words[passage], bare_words(text)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(shares, pa.float64())], ["doc_id", "item_id", "share"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("class_id"), pa.array(shares, pa.float64())], ["doc_id", "class_id", "share"])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share) of the pairs whose share of leaked words is at least SHARE."""
-    pairs = candidates(docs, items)
+    members = items.where("passage is not null").select("item_id", "passage", F.xxhash64("passage").alias("class_id"))
+    passages = members.select("class_id", "passage").distinct()
     texts = docs.select("doc_id", "text").where("text is not null")
-    full = pairs.join(texts, "doc_id").join(items.select("item_id", "passage"), "item_id").select("doc_id", "item_id", "text", "passage")
-    scored = full.mapInArrow(_score, "doc_id bigint, item_id bigint, share double")
-    return scored.where(F.col("share") >= SHARE).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    full = candidates(docs, passages).join(texts, "doc_id").join(passages, "class_id").select("doc_id", "class_id", "text", "passage")
+    scored = full.mapInArrow(_score, "doc_id bigint, class_id bigint, share double").where(F.col("share") >= SHARE)
+    return scored.join(members.select("item_id", "class_id"), "class_id").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

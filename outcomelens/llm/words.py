@@ -58,7 +58,11 @@ class Hashes:
         return out
 
     def grams(self, words: list[str], n: int) -> np.ndarray:
-        codes = self.words(words)
+        return self.roll(self.words(words), n)
+
+    @staticmethod
+    def roll(codes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n-grams of words given by their hashes."""
         if len(codes) < n:
             return np.empty(0, np.int64)
         value = codes[: len(codes) - n + 1].copy()

@@ -84,3 +84,15 @@ def test_alignment_is_optimal():
 def test_words():
     assert bare_words("<b>Caf&eacute;</b>\\n\\u0041 x­yz 1,5") == ["café", "a", "xyz", "1", "5"]
     assert bare_words(None) == bare_words("") == []
+
+
+def test_passages_shared_by_many_items(spark, monkeypatch):
+    copies, template = passage(20), passage(21, 40)
+    near = [" ".join(copies.split()[:57] + [f"end{k}"] * 3) for k in range(4)]
+    items = [(k, copies) for k in range(5)] + [(10 + k, t) for k, t in enumerate(near)] + [(20 + k, template + " " + passage(30 + k, 20)) for k in range(6)]
+    docs = [(1, noise(20) + " " + copies), (2, noise(21) + " " + template + " " + noise(22)), (3, noise(23) + " " + passage(30, 20))]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    expected = {(1, k) for k in (*range(5), *range(10, 14))} | {(2, 20 + k) for k in range(6)} | {(3, 20)}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == expected
+    monkeypatch.setattr(leakage, "FILTER_BOUND", 0)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == expected

@@ -1,7 +1,7 @@
 """Evaluation passages inside training texts.
 
-All word n-grams of a passage are its seeds, however many items share them. A document and a passage that share at least
-LEAST_SEEDS of them are aligned word by word (Smith-Waterman, local). Of the best alignment the coherent
+All word n-grams of a passage are its seeds, however many items share them. A document and a passage that share
+as many 3-grams and 2-grams as any leak has (below) are aligned word by word (Smith-Waterman, local). Of the best alignment the coherent
 stretches are taken (at least LEAST_WORDS matching words that are a share of IDENTITY of the columns), their words are
 masked, and so on until no alignment has LEAST_WORDS matches. The pair is a leak if its stretches hold at least SHARE of
 the words of the item's passage. Words are compared without layout, case, punctuation, markup and escapes; reordered
@@ -10,13 +10,19 @@ sentences align as stretches of their own, changed words inside them as mismatch
 Items with the same passage are one class, searched and aligned once; its members all come out. While the seeds fit a
 checked bound they are broadcast and a document's classes are counted where it is read, so seeds in many passages multiply
 nothing that is shuffled; beyond it they are joined. Both give the same rows. Whole texts are searched; only the
-surroundings of shared n-grams are aligned, which loses nothing, as a stretch without any shared n-gram of its item cannot reach IDENTITY.
+surroundings of shared n-grams are aligned.
+
+The seeds lose no stretch the alignment accepts: with m matches it has at most m // 3 other columns, so its matches fall into
+at most m // 3 + 1 unbroken runs, which hold at least m - (n - 1) (m // 3 + 1) n-grams; from LEAST_WORDS matches on one run
+has three words. Of a passage of fewer words a stretch has all, hence a whole 2-gram, or the only word.
 
 Null and empty texts or passages leak nothing. Repeated document rows come out once.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +32,6 @@ from pyspark.sql import DataFrame, functions as F
 from outcomelens.llm.words import Hashes, bare_words
 from outcomelens.session import cut
 
-GRAM = 4
-LEAST_SEEDS = 3
 LEAST_WORDS = 8
 IDENTITY = 0.75
 BREAK = 4
@@ -36,9 +40,30 @@ MATCH, MISMATCH, GAP = 4, -3, -3
 FILTER_BOUND = 4_000_000  # seeds (20 bytes each) up to which they are broadcast
 
 
+def _held(matches: int, n: int) -> int:
+    """The least number of whole n-grams in a stretch of so many matches."""
+    return max(int(n <= 3), matches - (n - 1) * (matches // 3 + 1))
+
+
+@functools.cache
+def _needed(words: int, n: int) -> int:
+    """The least number of n-grams in stretches of LEAST_WORDS matches or more that hold so many words together."""
+    least = [0] * (words + 1)
+    for k in range(1, words + 1):
+        least[k] = min(_held(m, n) + least[max(0, k - m)] for m in range(LEAST_WORDS, max(k, LEAST_WORDS) + 1))
+    return least[words]
+
+
+def _gram(length: int) -> int:
+    """The n-gram that every stretch of a passage of so many words holds at least one of."""
+    return 3 if length >= LEAST_WORDS else min(2, length)
+
+
 def _filters(length: int) -> list[tuple[int, int]]:
     """(n, need): a passage of so many words is a candidate where a text has at least `need` of its n-grams, for each n."""
-    return [(GRAM, LEAST_SEEDS)]
+    if length < LEAST_WORDS:
+        return [(_gram(length), 1)]
+    return [(n, _needed(math.ceil(SHARE * length), n)) for n in (3, 2)]
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +153,7 @@ def candidates(docs: DataFrame, passages: DataFrame) -> DataFrame:
     if 0 < known.count() <= FILTER_BOUND:
         shared = docs.sparkSession.sparkContext.broadcast(_sorted(known.toArrow()))
         return texts.mapInArrow(_near(shared), "doc_id bigint, class_id bigint").distinct()
-    sizes = [r["size"] for r in known.select("size").distinct().collect()] or [GRAM]
+    sizes = [r["size"] for r in known.select("size").distinct().collect()] or [1]
     found = texts.mapInArrow(_gram_rows(sizes), "doc_id bigint, gram bigint").distinct().join(known, "gram")
     enough = found.groupBy("doc_id", "class_id", "size", "need", "filters").agg(F.sum("times").alias("n")).where("n >= need")
     return enough.groupBy("doc_id", "class_id", "filters").agg(F.count("*").alias("n")).where("n = filters").select("doc_id", "class_id")
@@ -183,12 +208,13 @@ def leaked_share(passage: list[str], text: list[str]) -> float:
     codes: dict[str, int] = {}
     p = np.array([codes.setdefault(w, len(codes)) for w in passage])
     t = np.array([codes.get(w, -1) for w in text])
-    grams = {tuple(passage[k : k + GRAM]) for k in range(len(passage) - GRAM + 1)}
+    n, reach = _gram(len(passage)), math.ceil(len(passage) / IDENTITY)
+    grams = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
     near = np.zeros(len(t) + 1, int)
-    for k in range(len(text) - GRAM + 1):
-        if t[k] >= 0 and tuple(text[k : k + GRAM]) in grams:
-            near[max(0, k - len(p))] += 1
-            near[min(len(t), k + GRAM + len(p))] -= 1
+    for k in range(len(text) - n + 1):
+        if t[k] >= 0 and tuple(text[k : k + n]) in grams:
+            near[max(0, k - reach)] += 1
+            near[min(len(t), k + n + reach)] -= 1
     inside = np.cumsum(near)[:-1] > 0
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
     total, least = 0, min(LEAST_WORDS, len(passage))

@@ -96,3 +96,46 @@ def test_passages_shared_by_many_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == expected
     monkeypatch.setattr(leakage, "FILTER_BOUND", 0)
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == expected
+
+
+def unseeded_share(passage, text):
+    """leaked_share with the whole text aligned."""
+    codes = {}
+    p = np.array([codes.setdefault(w, len(codes)) for w in passage])
+    t = np.array([codes.get(w, -1) for w in text])
+    total, least = 0, min(leakage.LEAST_WORDS, len(passage))
+    while True:
+        columns = leakage.align(p, t)
+        matches = [(i, j) for i, j, same in columns if same]
+        if len(matches) < least:
+            return total / len(passage)
+        kept = [pair for stretch in leakage.stretches(columns, least) for pair in stretch]
+        total += len(kept)
+        for i, j in kept or matches:
+            t[j] = -1
+            p[i] = -2 if kept else p[i]
+
+
+def edited(rng, words):
+    """A stretch of the words with every k-th one changed, left out or preceded by another."""
+    n = rng.randrange(len(words) // 2 if len(words) > 8 else len(words), len(words) + 1)
+    at, every = rng.randrange(len(words) - n + 1), rng.randrange(2, 12)
+    out = []
+    for k, w in enumerate(words[at : at + n]):
+        kind = rng.choice(("slip", "", f"more {w}", f"more {w}")) if k % every == every - 1 else w
+        out += kind.split()
+    return out
+
+
+def test_short_and_edited_stretches_as_without_seeds(spark):
+    rng = random.Random(7)
+    passages = {k: passage(100 + k, rng.choice((1, 2, 3, 5, 6, 7, 8, 12, 24, 38))).replace(".", "").split() for k in range(60)}
+    texts = {k: noise(200 + k, 15).split() + edited(rng, passages[k % 60]) + noise(300 + k, 15).split() for k in range(180)}
+    twelve = passage(400, 38).replace(".", "").split()
+    passages[60], texts[180] = twelve, ["slip" if k in (4, 9) else w for k, w in enumerate(twelve[:12])]
+    passages[61], texts[181] = twelve[::-1], ["slip" if k % 4 == 3 else w for k, w in enumerate(twelve[::-1])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in passages.items()], "item_id bigint, passage string")
+    expected = {(d, i) for d, t in texts.items() for i, p in passages.items() if unseeded_share(p, t) >= leakage.SHARE}
+    assert {(180, 60), (181, 61)} <= expected and {len(passages[i]) for _, i in expected} >= {1, 2, 3, 5, 6, 7, 8}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == expected

@@ -8,7 +8,9 @@ the tail's quantile at a fixed risk, never below floor spreads nor, as exceedanc
 level moves the running median along and is no spike.
 
 Stuck values are runs of equal consecutive readings that are much longer than the run lengths the series shows
-otherwise (RUN_QUANTILE of its run lengths, times stretch, at least shortest); all but the first row of a run are flagged.
+otherwise (RUN_QUANTILE of its run lengths, times stretch, at least shortest); all but the first row of a run are flagged. As stuck
+runs are among these lengths, the quantile counts for at most RUN_REACH medians: lengths that fall off evenly have it at
+some four medians, so that only few or many stuck runs push it beyond.
 
 Long series are cut into blocks of time. Runs are found inside the blocks and joined across them by a second pass over
 the first and last run of each block, exactly; running medians use the neighbours inside the block. Spreads, quantiles
@@ -30,6 +32,7 @@ from outcomelens.operators.runs import islands, runs
 
 THRESHOLD = 0.95  # quantile of the residuals above which a tail is fitted
 RUN_QUANTILE = 0.95
+RUN_REACH = 5
 ACCURACY = 1000
 
 
@@ -113,7 +116,7 @@ def stuck(readings: DataFrame, rules: dict[str, SpikeRules]) -> DataFrame:
     """(field, row_id) of all but the first reading of every stuck run."""
     marked = islands(readings)
     lengths = runs(marked)
-    usual = lengths.where("not goes_on").groupBy("field", "series").agg(F.percentile_approx("run", RUN_QUANTILE, ACCURACY).alias("usual"))
+    usual = lengths.where("not goes_on").groupBy("field", "series").agg(F.least(F.percentile_approx("run", RUN_QUANTILE, ACCURACY), RUN_REACH * F.percentile_approx("run", 0.5, ACCURACY)).alias("usual"))
     longest = F.greatest(_of_field(rules, "shortest"), _of_field(rules, "stretch") * F.col("usual"))
     long = lengths.where(F.col("run") > _of_field(rules, "shortest")).join(usual, ["field", "series"]).where(F.col("run") > longest)
     found = marked.join(long.select("field", "series", "block", "island", "goes_on"), ["field", "series", "block", "island"])

@@ -79,3 +79,17 @@ def test_whole_query_on_dirty_rows(spark, write):
     bar, event = "outcomes_clusters", "events_synthetic"
     assert found == {(bar, 7, "close"), (bar, 7, "volume"), (bar, 30, "close"), (bar, 60, "close"), (bar, 60, "volume"), (bar, 201, "close"),
                      (event, 50, "realized_pnl"), (event, 400, "realized_pnl"), (event, 401, "realized_pnl"), (event, 402, "realized_pnl")}
+
+
+def test_stuck_runs_of_short_and_mostly_frozen_series(spark):
+    rng, rules = random.Random(8), {"v": spikes.SpikeRules()}
+    short = [rng.random() for _ in range(9)] + [5.0] * 60 + [rng.random() for _ in range(9)]
+    assert sorted(r.row_id for r in spikes.stuck(readings(spark, short), rules).collect()) == list(range(10, 69))
+    frozen, expected = [], []
+    for k in range(6):
+        frozen += [rng.random() for _ in range(15)] + [float(k + 2)] * 12
+        expected += range(len(frozen) - 11, len(frozen))
+    assert sorted(r.row_id for r in spikes.stuck(readings(spark, frozen), rules).collect()) == expected
+    half = [float(k // 2 + 2) if k % 41 else rng.random() for k in range(41)] + [7.0]
+    assert spikes.stuck(readings(spark, half), rules).count() == 0
+    assert spikes.stuck(readings(spark, [5.0] * 60), rules).count() == 0  # nothing else is known of it

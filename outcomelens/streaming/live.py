@@ -1,7 +1,7 @@
 """Structured Streaming twins of the batch operators.
 
 Event time must be a TIMESTAMP (not NTZ) for watermarks; the readers cast it. Each twin run with availableNow over the same
-files ends with the batch result."""
+files ends with the batch result, except what the watermarks of daily_pnl and first_deliveries lose (README.md)."""
 
 from __future__ import annotations
 
@@ -28,9 +28,11 @@ def daily_pnl(events: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 def first_deliveries(events: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """First wins within the watermark: state is dropped for identifiers older than `lateness`."""
-    keyed = events.withColumn("key", identifier(F.col("event_id"))).where("key is not null")
-    return keyed.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["key"])
+    """First wins within the watermark: state is dropped for identifiers older than `lateness`. Rows without identifier are
+    all kept."""
+    keyed = events.withColumn("key", identifier(F.col("event_id")))
+    named = keyed.where("key is not null").withWatermark("at", lateness).dropDuplicatesWithinWatermark(["key"])
+    return named.unionByName(keyed.where("key is null"))
 
 
 def accepted_messages(messages: DataFrame, id_column: str, state: str, out: str, checkpoint: str) -> DataStreamWriter:

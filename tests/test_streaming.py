@@ -49,3 +49,15 @@ def test_reference_counts(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         live.reference_counts(spark.readStream.schema(schema).parquet(folder), f"{tmp_path}/state", f"{tmp_path}/check").start().awaitTermination()
     assert {(r.key, r.refs, r.existence) for r in spark.read.parquet(f"{tmp_path}/state/1").collect()} == {("a", 1, 1), ("b", 1, 0)}
+
+
+def test_first_deliveries_keep_rows_without_identifier(spark, tmp_path):
+    from outcomelens.streaming import live as twins
+
+    rows = spark.sql("select * from values (1, 'a'), (2, 'A '), (3, null), (4, 'n/a'), (5, null), (6, 'b') t(row_id, event_id)")
+    rows = rows.selectExpr("*", "timestamp_ntz'2025-01-01 00:00:00' as timestamp")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = twins.first_deliveries(twins.read_stream(spark, f"{tmp_path}/in", rows.schema))
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(60)
+    found = sorted(r.row_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found[-4:] == [3, 4, 5, 6] and len(found) == 5

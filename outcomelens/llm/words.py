@@ -1,4 +1,5 @@
-"""Words of a text, compared without layout, letter case, punctuation, markup and escapes."""
+"""Words of a text, compared without layout, letter case, punctuation, markup and escapes. In scripts that are written without
+spaces between words every character is a word."""
 
 from __future__ import annotations
 
@@ -10,6 +11,10 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
+#: Thai, Lao, Burmese, Khmer, Kana and Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_MIXED = re.compile(rf"(?![\W_])[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CONTROL = re.compile(r"\\[nrt]")
@@ -18,7 +23,10 @@ _HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 def plain_words(text: str | None) -> list[str]:
     """Case-folded runs of letters and digits; an empty list for null."""
-    return WORD.findall(text.casefold()) if text else []
+    if not text:
+        return []
+    text = text.casefold()
+    return (WORD if text.isascii() or not _ANY_UNSPACED.search(text) else _MIXED).findall(text)
 
 
 def bare_words(text: str | None) -> list[str]:
@@ -39,23 +47,22 @@ def bare_words(text: str | None) -> list[str]:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
 class Hashes:
     """64-bit hashes of words, computed once a word, and of the word n-grams of a text."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = _Known()
 
     def words(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, word in enumerate(words):
-            value = known.get(word)
-            if value is None:
-                value = known[word] = xxhash.xxh64_intdigest(word)
-            out[i] = value
-        return out
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def grams(self, words: list[str], n: int) -> np.ndarray:
         return self.roll(self.words(words), n)

@@ -139,3 +139,56 @@ def test_short_and_edited_stretches_as_without_seeds(spark):
     expected = {(d, i) for d, t in texts.items() for i, p in passages.items() if unseeded_share(p, t) >= leakage.SHARE}
     assert {(180, 60), (181, 61)} <= expected and {len(passages[i]) for _, i in expected} >= {1, 2, 3, 5, 6, 7, 8}
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == expected
+
+
+def test_alignment_in_blocks_of_rows(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(60):
+        a = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 40))])
+        b = np.array([rng.randrange(-1, 6) for _ in range(rng.randrange(1, 80))])
+        whole = leakage.align(a, b)
+        monkeypatch.setattr(leakage, "CELLS", 0)
+        assert leakage.align(a, b) == whole
+        monkeypatch.undo()
+
+
+def test_column_scores_bound_the_words_of_all_stretches():
+    rng = random.Random(10)
+    texts = [np.array([rng.randrange(-1, 9) for _ in range(rng.randrange(0, 90))], int) for _ in range(40)]
+    passage = np.array([rng.randrange(9) for _ in range(30)])
+    for text, scores in zip(texts, leakage.column_scores(passage, texts)):
+        assert scores.max(initial=0) == brute_score(passage, text)
+        assert leakage.most_words(scores, 8) >= unseeded_share(list(passage), list(text)) * len(passage) - 1e-9 or len(text) == 0
+
+
+def test_a_long_text_is_searched_whole(spark):
+    p = passage(50)
+    text = " ".join([noise(51, 3000), p, noise(52, 3000), p[: len(p) // 2], noise(53, 3000)] + [" ".join(p.split()[:3])] * 2000)
+    found = leakage.leaks(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(1, p)], "item_id bigint, passage string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 1)]
+
+
+def test_recall_on_regular_edits(spark):
+    """Every word at a multiple of 4, 5 or 6 changed: identity 0.75 and more. Every third is below IDENTITY by definition."""
+    found = {}
+    items = spark.createDataFrame([(k, passage(500 + k)) for k in range(40)], "item_id bigint, passage string")
+    for every in (3, 4, 5, 6):
+        docs = [(k, noise(600 + k, 60) + " " + " ".join("slip" if j % every == every - 1 else w for j, w in enumerate(passage(500 + k).split())) + " " + noise(700 + k, 60)) for k in range(40)]
+        rows = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+        assert all(r.doc_id == r.item_id for r in rows)
+        found[every] = len(rows)
+    assert found[3] < 40 and found[4] == found[5] == found[6] == 40
+
+
+def test_passages_shared_by_fifty_items(spark):
+    shared = passage(800)
+    items = spark.createDataFrame([(k, shared + (f" end{k}" if k % 2 else "")) for k in range(50)], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, noise(801) + " " + shared), (2, noise(802))], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == {(1, k) for k in range(50)}
+
+
+def test_scripts_without_spaces(spark):
+    text = "模型在训练时会看到大量的文本其中一部分可能来自评测集所以必须仔细检查"
+    assert bare_words("ab漢字cd 東") == ["ab", "漢", "字", "cd", "東"]
+    docs = spark.createDataFrame([(1, "前言很短。" + text + "。后面还有别的话"), (2, "完全不同的句子没有任何关系")], "doc_id bigint, text string")
+    assert [r.doc_id for r in leakage.leaks(docs, spark.createDataFrame([(7, text)], "item_id bigint, passage string")).collect()] == [1]

@@ -18,15 +18,30 @@ _MIXED = re.compile(rf"(?![\W_])[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CONTROL = re.compile(r"\\[nrt]")
+#: What ends a sentence, a line or (with two line ends) a paragraph.
+_END = r"[.!?](?=\s)|[。！？]|(?:\r?\n[ \t]*)+|\r"
+_PIECE, _MIXED_PIECE = re.compile(rf"{WORD.pattern}|{_END}"), re.compile(rf"{_MIXED.pattern}|{_END}")
 _HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 
+def _mixed(text: str) -> bool:
+    return not text.isascii() and _ANY_UNSPACED.search(text) is not None
+
+
 def plain_words(text: str | None) -> list[str]:
     """Case-folded runs of letters and digits; an empty list for null."""
     if not text:
         return []
     text = text.casefold()
-    return (WORD if text.isascii() or not _ANY_UNSPACED.search(text) else _MIXED).findall(text)
+    return (_MIXED if _mixed(text) else WORD).findall(text)
+
+
+def plain_pieces(text: str | None) -> list[str]:
+    """The same words with the ends of sentences, lines and paragraphs between them."""
+    if not text:
+        return []
+    text = text.casefold()
+    return (_MIXED_PIECE if _mixed(text) else _PIECE).findall(text)
 
 
 def bare_words(text: str | None) -> list[str]:

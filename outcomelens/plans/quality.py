@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from outcomelens.functions.identifiers import identifier, identifier_sql
 from outcomelens.operators import delivery, references, rolling, spikes, timestamps
+from outcomelens.operators.runs import islands
 from outcomelens.session import cut
 from outcomelens.sources.tables import table
 
@@ -125,13 +126,9 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- p5: implausible spikes
 
-# Between floor and ceiling the fitted tail decides. Log volume has light tails, log prices heavier ones (gaps), and
-# amounts are two-sided mixtures of gains and losses, whose common values lie up to some 25 spreads from the median.
-RULES = {
-    "close": spikes.SpikeRules(floor=18.0, ceiling=25.0),
-    "volume": spikes.SpikeRules(floor=11.0, ceiling=14.0),
-    "realized_pnl": spikes.SpikeRules(floor=28.0, ceiling=33.0),
-}
+# Amounts are mixtures of gains and losses, whose tail begins further out than that of bars. Bars are some 200 readings a
+# series, too few for such a quantile.
+RULES = {"close": spikes.SpikeRules(), "volume": spikes.SpikeRules(), "realized_pnl": spikes.SpikeRules(threshold=0.98)}
 
 
 def _bars(bars: DataFrame, field: str) -> DataFrame:
@@ -148,21 +145,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     once = delivery.first_deliveries(events, "event_id", ["strategy_id", "timestamp", "realized_pnl"]).where("realized_pnl is not null")
     at, pnl = F.col("timestamp").cast("timestamp"), F.lit("realized_pnl").alias("field")
     amounts = cut(once.select(pnl, F.col("strategy_id").alias("series"), F.unix_seconds(F.date_trunc("hour", at)).alias("block"), at.alias("at"), "row_id", F.col("realized_pnl").alias("value"), "key", "copies"))
-    readings = _bars(bars, "close").unionByName(_bars(bars, "volume")).unionByName(amounts.drop("key", "copies"))
-    bad = (
-        spikes.impossible(value)
-        | ((field == "close") & (value <= 0))
-        | ((field == "volume") & (value < 0))
-        | ((field == "realized_pnl") & spikes.filler(value))
-    )
-    good = readings.where(~bad & F.col("series").isNotNull())
-    timed = good.where("at is not null")
-    logs = timed.where("field <> 'realized_pnl'").withColumn("value", F.when(field == "close", F.log("value")).otherwise(F.log1p("value")))
-    around = spikes.local_residuals(logs).unionByName(spikes.seasonal_residuals(good.where("field = 'realized_pnl'"), F.date_trunc("month", "at")))
-    residuals = cut(around)
-    flags = readings.where(bad).select("field", "row_id").unionByName(spikes.spikes(residuals, RULES)).unionByName(spikes.stuck(timed, RULES)).distinct()
-    flags = cut(flags)
-    flagged = amounts.select("key", "copies", "row_id").join(flags.where("field = 'realized_pnl'").select("row_id"), "row_id")
+    readings = _bars(bars, "close").unionByName(_bars(bars, "volume"))
+    bad = spikes.impossible(value) | ((field == "close") & (value <= 0)) | ((field == "volume") & (value < 0)) | ((field == "realized_pnl") & spikes.filler(value))
+    good = ~bad & F.col("series").isNotNull()
+    # the runs and the running median of a bar share one sort; equal logs are equal values
+    logs = readings.where(good & F.col("at").isNotNull()).withColumn("value", F.when(field == "close", F.log("value")).otherwise(F.log1p("value")))
+    judged = islands(logs).withColumn("residual", value - spikes.running_level())
+    paid = amounts.where(good).drop("key", "copies")
+    judged = cut(judged.unionByName(islands(spikes.monthly_residuals(paid))))
+    impossible = readings.where(bad).select("field", "row_id").unionByName(amounts.where(bad).select("field", "row_id"))
+    flags = impossible.unionByName(spikes.spikes(judged, RULES)).unionByName(spikes.stuck_rows(judged.where("at is not null"), RULES))
+    flags = cut(flags.distinct())
+    flagged = cut(amounts.select("key", "copies", "row_id").join(flags.where("field = 'realized_pnl'").select("row_id"), "row_id"))
     again = delivery.keyed(events, "event_id").join(flagged.where("copies > 1").select("key"), "key").select("row_id")
     of_events = flagged.where("copies = 1").select("row_id").unionByName(again).select(F.lit("events_synthetic").alias("tab"), "row_id", pnl)
     return flags.where("field <> 'realized_pnl'").select(F.lit("outcomes_clusters").alias("tab"), "row_id", "field").unionByName(of_events)

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from outcomelens.operators import runs, spikes
@@ -93,3 +94,61 @@ def test_stuck_runs_of_short_and_mostly_frozen_series(spark):
     half = [float(k // 2 + 2) if k % 41 else rng.random() for k in range(41)] + [7.0]
     assert spikes.stuck(readings(spark, half), rules).count() == 0
     assert spikes.stuck(readings(spark, [5.0] * 60), rules).count() == 0  # nothing else is known of it
+
+
+def pareto(rng, shape, scale, n):
+    u = rng.random(n)
+    return scale * -np.log(u) if shape == 0 else scale / shape * (u**-shape - 1)
+
+
+def histogram(y):
+    return np.bincount(np.minimum((y / spikes.WIDTH).astype(int), spikes.BINS), minlength=spikes.BINS + 1)[: spikes.BINS].astype(float)
+
+
+def test_tails_are_recovered_in_spite_of_spikes():
+    rng = np.random.default_rng(1)
+    for shape, scale in ((0.0, 0.3), (0.0, 0.8), (0.15, 0.3), (0.24, 0.3)):
+        y = np.concatenate([pareto(rng, shape, scale, 20_000), rng.uniform(8, 12, 1500)])
+        tail = spikes.field_tail(histogram(y), histogram(y))
+        assert abs(tail.shape - shape) <= 0.06, (shape, tail.shape)
+        ways = spikes.likelihoods(histogram(y)[None, :], tail.fence)[0]
+        assert abs(spikes._SCALE[ways.argmax()] / scale - 1) < 0.12
+
+
+def test_cutoffs_follow_the_tail_of_each_series(spark):
+    """Three series with the same spread in the middle and other tails: a reading is a spike in one and none in another."""
+    rng = np.random.default_rng(2)
+    rows, k = [], 0
+    for series, scale in (("short", 0.1), ("usual", 0.3), ("long", 0.9)):
+        body = rng.uniform(-1, 1, 1800)
+        tail = (1 + pareto(rng, 0.0, scale, 200)) * rng.choice([-1, 1], 200)
+        for v in [*body, *tail, 4.5]:
+            rows.append(("v", series, START + timedelta(hours=k), k, float(v)))
+            k += 1
+    df = spark.createDataFrame(rows, "field string, series string, at timestamp, row_id bigint, residual double")
+    rules = {"v": spikes.SpikeRules(risk=1e-5)}
+    found = {r.row_id for r in spikes.spikes(df, rules).collect()}
+    assert {2000} <= found and 6002 not in found and len(found) <= 3
+    strict = {r.row_id for r in spikes.spikes(df, {"v": spikes.SpikeRules(risk=1e-12)}).collect()}
+    assert strict < found | {-1} and len(strict) <= len(found)
+
+
+def test_days_of_the_week_are_a_season(spark):
+    """A series that is ten times higher on Mondays: its Mondays are no spikes, the same value on a Tuesday is one."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(500):
+        at = START + timedelta(days=k)
+        value = (10.0 if at.weekday() == 0 else 0.0) + rng.gauss(0, 0.1)
+        rows.append(("v", "s", at, k, 10.0 if k == 251 else value))
+    assert (START + timedelta(days=251)).weekday() != 0
+    df = spark.createDataFrame(rows, "field string, series string, at timestamp, row_id bigint, residual double")
+    assert [r.row_id for r in spikes.spikes(df, {"v": spikes.SpikeRules()}).collect()] == [251]
+
+
+def test_half_of_all_rows_in_one_series(spark):
+    rng = random.Random(13)
+    rows = [("v", "hot" if k % 2 else f"s{k % 20}", START + timedelta(minutes=k), k, rng.gauss(0, 1)) for k in range(4000)]
+    rows[1001] = (*rows[1001][:4], 500.0)
+    df = spark.createDataFrame(rows, "field string, series string, at timestamp, row_id bigint, residual double")
+    assert [r.row_id for r in spikes.spikes(df, {"v": spikes.SpikeRules()}).collect()] == [1001]

@@ -2,10 +2,15 @@
 
 Every text yields an array of all its valid interpretations (notation, instant, cost), built from JVM expressions. A text
 without zone is local time of its producer; local times that a clock change repeats give two instants, skipped ones none.
-Slash dates are read both ways, the order its producer does not use at a cost no path can make up. Of several
-interpretations a Viterbi pass over each source's record order picks one, with a penalty for a change of notation and for
-a step back in time. A source's records are cut into chains of CHAIN arrivals, so a chain is bounded by construction,
-however large the source.
+Slash dates are read both ways; where a producer declares its order, that is a fact, and the other costs more than any path
+can make up. Of several interpretations a Viterbi pass over each source's record order picks one, with a penalty for a
+change of notation and for a step back in time: this decides for producers that declare no order and for local times that a
+clock change repeats. `certain` rows are those whose pick is the one instant that zone and declared order leave.
+
+A source's records are cut into blocks of CHAIN arrivals, however large the source, without changing the path: the states
+at the edges of a block are settled first. Where a row beside an edge has one interpretation, that is the state. Runs of
+ambiguous rows that cross edges are settled by the cheapest costs between the first and the last row of each block they
+touch, added up along the source, one small matrix a block; then every block is settled between its known ends.
 
 Nulls, unusable texts, impossible dates or times, and local texts of an unknown producer have no interpretation (empty
 array, null result). Digits beyond microseconds are cut off; parts not written are zero. Ties: the first interpretation.
@@ -19,9 +24,10 @@ from zoneinfo import ZoneInfo, available_timezones
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from outcomelens.functions.identifiers import WHITE, identifier
+from outcomelens.session import cut
 
 CHAIN = 8192
 SWITCH, BACK, MOST_BACK, WRONG_ORDER = 1.0, 0.25, 4.0, 50.0
@@ -38,7 +44,8 @@ CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z\z"
 
 _MARK = r"(?:\s*(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5}))?(?:\[[A-Za-z_/+0-9-]+\])?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-PARTS = ("y", "mo", "d", "doy", "week", "wd", "h", "mi", "s", "frac", "half", "mark", "month", "wday", "a", "b", "unix")
+NUMBERS = ("y", "mo", "d", "doy", "week", "wd", "h", "mi", "s", "a", "b", "unix")
+PARTS = (*NUMBERS, "frac", "half", "mark", "month", "wday")
 #: notation, pattern, the parts its groups hold in order
 NOTATIONS = (
     ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[Tt ]{_CLOCK}(?:\s*([AaPp][Mm]))?{_MARK})?$", "y mo d h mi s frac half mark"),
@@ -130,11 +137,10 @@ def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
     read = read.withColumn("notation", notation).withColumn("parts", F.transform(F.split(spread, r"\|", -1), lambda p: F.nullif(p, F.lit(""))))
 
     part = lambda name: F.coalesce(F.get("parts", F.lit(PARTS.index(name))), F.lit(""))
-    numbers = ("y", "mo", "d", "doy", "week", "wd", "h", "mi", "s", "a", "b", "unix")
     texts = [F.upper(part(n)).alias(n) for n in ("half", "mark", "month", "wday", "frac")]
-    read = read.withColumn("numbers", F.transform("parts", _number))
+    read = read.withColumn("numbers", F.transform(F.slice("parts", 1, len(NUMBERS)), _number))
     number = lambda name: F.get("numbers", F.lit(PARTS.index(name))).alias(name)
-    read = read.select(*keep, "notation", *map(number, numbers), *texts, F.length(part("y")).alias("y_width"), F.length(part("unix")).alias("digits"))
+    read = read.select(*keep, "notation", *map(number, NUMBERS), *texts, F.length(part("y")).alias("y_width"), F.length(part("unix")).alias("digits"))
     read = read.join(zones, "source", "left").join(abbreviations(rows.sparkSession), ["zone", "mark"], "left")
 
     names = F.create_map(*[x for i, group in enumerate(MONTHS, 1) for name in group.split() for x in (F.lit(name.upper()), F.lit(i))])
@@ -199,56 +205,161 @@ def interpretations(rows: DataFrame, producers: DataFrame) -> DataFrame:
     return read.select(*keep, found.alias("candidates"))
 
 
+Options = list[dict]  # the interpretations of one row: notation, utc_us, cost
+
+
+def steps(before: Options, after: Options) -> np.ndarray:
+    """What it costs to go from each interpretation of a row to each of the next, the cost of the latter included."""
+    codes, utcs, costs = ([np.array([c[k] for c in row]) for row in (before, after)] for k in ("notation", "utc_us", "cost"))
+    back = np.log1p(np.maximum(0, utcs[0][:, None] - utcs[1][None, :]) / 1e6)
+    return SWITCH * (codes[0][:, None] != codes[1][None, :]) + np.minimum(MOST_BACK, BACK * back) + costs[1][None, :]
+
+
 def cheapest_path(codes: list[list[int]], utcs: list[list[int]], costs: list[list[float]]) -> list[int]:
     """Viterbi over rows that each have at least one interpretation: the index chosen in every row."""
-    best, back = list(costs[0]), []
-    for k in range(1, len(codes)):
-        step, now = [], []
-        for code, utc, cost in zip(codes[k], utcs[k], costs[k]):
-            ways = [
-                total + SWITCH * (code != before) + min(MOST_BACK, BACK * float(np.log1p(max(0, then - utc) / 1e6)))
-                for total, before, then in zip(best, codes[k - 1], utcs[k - 1])
-            ]
-            at = min(range(len(ways)), key=ways.__getitem__)
-            step.append(at)
-            now.append(ways[at] + cost)
-        best = now
-        back.append(step)
-    picks = [min(range(len(best)), key=best.__getitem__)]
+    rows = [[{"notation": c, "utc_us": u, "cost": x} for c, u, x in zip(*row)] for row in zip(codes, utcs, costs)]
+    best, back = np.array(costs[0], float), []
+    for before, after in zip(rows, rows[1:]):
+        ways = best[:, None] + steps(before, after)
+        back.append(ways.argmin(0))
+        best = ways.min(0)
+    picks = [int(best.argmin())]
     for step in reversed(back):
-        picks.append(step[picks[-1]])
+        picks.append(int(step[picks[-1]]))
     return picks[::-1]
 
 
-def _chain(rows: pa.Table) -> pa.Table:
-    """One chain: the rows in order of arrival; runs of ambiguous rows are settled between the unambiguous ones around them."""
-    rows = rows.sort_by("row_id")
+def _single(options: Options | None) -> bool:
+    return options is not None and len(options) == 1
+
+
+def _between(rows: list[Options]) -> np.ndarray:
+    """The cheapest costs from each interpretation of the first row to each of the last."""
+    costs = np.where(np.eye(len(rows[0]), dtype=bool), 0.0, np.inf)
+    for before, after in zip(rows, rows[1:]):
+        costs = (costs[:, :, None] + steps(before, after)[None, :, :]).min(1)
+    return costs
+
+
+_HERE = ["tab", "field", "source", "block"]
+_CANDIDATES = "array<struct<notation:int,utc_us:bigint,cost:double>>"
+_MATRIX = f"tab string, field string, source string, block bigint, first {_CANDIDATES}, last {_CANDIDATES}, open_before boolean, open_after boolean, costs array<double>"
+_FORCED = "tab string, field string, source string, block bigint, first_pick int, last_pick int"
+
+
+def _known(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(candidates, how many each row has, the rows that have any) of one block in order of arrival."""
     candidates = rows.column("candidates").combine_chunks()
     counts = candidates.value_lengths().fill_null(0).to_numpy()
-    picks = np.where(counts > 0, 0, -1)
-    known = np.flatnonzero(counts > 0)
-    unsure = np.flatnonzero(counts[known] > 1)
-    if len(unsure):
-        for run in np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1):
-            span = known[max(0, run[0] - 1) : run[-1] + 2]
-            options = [candidates[int(i)].as_py() for i in span]
-            take = lambda key: [[c[key] for c in row] for row in options]
-            picks[span] = cheapest_path(take("notation"), take("utc_us"), take("cost"))
-    at = rows.column_names.index("candidates")
+    return candidates, counts, np.flatnonzero(counts > 0)
+
+
+def _transfer(rows: pa.Table) -> pa.Table:
+    """One block beside an open edge: the costs between the interpretations of its first and last row. Rows between two
+    unambiguous ones cost the same whatever the ends are, and are left out."""
+    rows = rows.sort_by("row_id")
+    candidates, counts, known = _known(rows)
+    anchors = np.flatnonzero(counts[known] == 1)
+    first, last = (anchors[0] + 1, anchors[-1]) if len(anchors) else (len(known), len(known))
+    at = lambda places: [candidates[int(i)].as_py() for i in places]
+    head, tail = at(known[:first]), at(known[last:])
+    costs = _between(head) if not tail else _between(head).min(1)[:, None] + _between(tail).min(0)[None, :]
+    enter, leave = (rows.column(name)[0].as_py() for name in ("enter", "leave"))
+    ends = head[0], (tail or head)[-1]
+    costs = costs + np.array([c["cost"] for c in ends[0]])[:, None]
+    if _single(enter):
+        costs = costs + (steps(enter, ends[0])[0] - [c["cost"] for c in ends[0]])[:, None]
+    if _single(leave):
+        costs = costs + steps(ends[1], leave)[:, 0][None, :]
+    row = {name: rows.column(name)[0].as_py() for name in [*_HERE, "open_before", "open_after"]} | {"first": ends[0], "last": ends[1], "costs": costs.ravel().tolist()}
+    return _table([row], _MATRIX)
+
+
+def _table(rows: list[dict], schema: str) -> pa.Table:
+    options = pa.list_(pa.struct([("notation", pa.int32()), ("utc_us", pa.int64()), ("cost", pa.float64())]))
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), _CANDIDATES: options}
+    return pa.Table.from_pylist(rows, pa.schema([(name, kinds[kind]) for name, kind in (part.split(" ") for part in schema.split(", "))]))
+
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """The blocks of one source beside open edges, one row each: the picks at their ends on the cheapest path along them."""
+    blocks, out, chain = rows.sort_by("block").to_pylist(), [], []
+    for block in blocks:
+        chain.append(block)
+        if block["open_after"]:
+            continue
+        totals = np.zeros(len(chain[0]["first"]))
+        marks = []
+        for k, b in enumerate(chain):
+            costs = np.array(b["costs"]).reshape(len(b["first"]), len(b["last"]))
+            if k:  # the matrix of a block begins with the costs of its first row
+                ways = totals[:, None] + steps(chain[k - 1]["last"], b["first"]) - [c["cost"] for c in b["first"]]
+                enter, totals = ways.argmin(0), ways.min(0)
+            else:
+                enter = None
+            ways = totals[:, None] + costs
+            marks.append((enter, ways.argmin(0)))
+            totals = ways.min(0)
+        pick = int(totals.argmin())
+        for b, (enter, through) in zip(reversed(chain), reversed(marks)):
+            first = int(through[pick])
+            out.append({name: b[name] for name in _HERE} | {"first_pick": first, "last_pick": pick})
+            pick = int(enter[first]) if enter is not None else -1
+        chain = []
+    return _table(out, _FORCED)
+
+
+_UNSURE = "tab string, row_id bigint, field string, text string, candidates " + _CANDIDATES + ", pick int"
+
+
+def _chain(rows: pa.Table) -> pa.Table:
+    """The ambiguous rows of one block: each run of them is settled between the unambiguous rows around it, the ends of the
+    block between what its neighbours hold or as they were settled before."""
+    rows = rows.sort_by("row_id")
+    column = lambda name: rows.column(name).combine_chunks()
+    counts, befores, afters = (column(name).value_lengths().fill_null(0).to_numpy() for name in ("candidates", "before", "after"))
+    candidates, picks = column("candidates"), np.zeros(rows.num_rows, np.int32)
+    enter, leave, first_pick, last_pick = (rows.column(name)[0].as_py() for name in ("enter", "leave", "first_pick", "last_pick"))
+    for run in np.split(np.arange(rows.num_rows), np.flatnonzero(befores[1:] <= 1) + 1):
+        options, shifts = [candidates[int(k)].as_py() for k in run], np.zeros(len(run), np.int32)
+        head = rows.column("before")[int(run[0])].as_py() or enter
+        tail = rows.column("after")[int(run[-1])].as_py() or leave
+        if befores[run[0]] == 0 and first_pick is not None and counts[run[0]] > first_pick:
+            options[0], shifts[0] = [options[0][first_pick]], first_pick
+        if afters[run[-1]] == 0 and last_pick is not None and len(options[-1]) > last_pick:
+            options[-1], shifts[-1] = [options[-1][last_pick]], last_pick
+        head, tail = ([x] if _single(x) else [] for x in (head, tail))
+        path = head + options + tail
+        found = cheapest_path(*([[c[key] for c in row] for row in path] for key in ("notation", "utc_us", "cost")))
+        picks[run] = shifts + np.array(found[len(head) : len(head) + len(run)], np.int32)
     kind = pa.list_(pa.struct([("notation", pa.int32()), ("utc_us", pa.int64()), ("cost", pa.float64())]))
-    return rows.set_column(at, "candidates", candidates.cast(kind)).append_column("pick", pa.array(picks, pa.int32()))
+    kept = [rows.column(name) for name in ("tab", "row_id", "field", "text")] + [candidates.cast(kind), pa.array(picks)]
+    return pa.table(kept, ["tab", "row_id", "field", "text", "candidates", "pick"])
 
 
 def normalised(rows: DataFrame, producers: DataFrame) -> DataFrame:
-    """rows (tab, row_id, field, producer, text) with utc_us, its notation and `certain`: exactly one instant is possible.
-
-    A row without interpretation has nulls. One without need of a choice still takes part in its source's chain."""
-    read = interpretations(rows, producers).withColumn("chain", F.floor(F.col("row_id") / CHAIN))
-    schema = "tab string, row_id bigint, field string, source string, text string, candidates array<struct<notation:int,utc_us:bigint,cost:double>>, chain bigint, pick int"
-    chosen = read.groupBy("tab", "field", "source", "chain").applyInArrow(_chain, schema)
+    """rows (tab, row_id, field, producer, text) with utc_us, its notation and `certain`: exactly one instant is declared, and
+    it is the pick.
+
+    A row without interpretation has nulls. Only ambiguous rows, with what lies before and after them, leave the JVM."""
+    block = F.floor(F.col("row_id") / CHAIN).alias("block")
+    read = cut(interpretations(rows, producers).select("tab", "field", F.coalesce("source", F.lit("")).alias("source"), block, "row_id", "text", "candidates"))
+    known, size = read.where(F.size("candidates") > 0), F.size("candidates")
+    ends = known.groupBy(*_HERE).agg(F.min_by("candidates", "row_id").alias("first"), F.max_by("candidates", "row_id").alias("last"))
+    along = Window.partitionBy("tab", "field", "source").orderBy("block")
+    many = lambda name: F.coalesce(F.size(name) > 1, F.lit(False))
+    edges = ends.withColumns({"enter": F.lag("last").over(along), "leave": F.lead("first").over(along)})
+    edges = cut(edges.withColumns({"open_before": many("enter") & many("first"), "open_after": many("last") & many("leave")}).drop("first", "last"))
+    touched = known.drop("text").join(edges.where("open_before or open_after"), _HERE)
+    forced = touched.groupBy(*_HERE).applyInArrow(_transfer, _MATRIX).groupBy("tab", "field", "source").applyInArrow(_settle, _FORCED)
+    inside = Window.partitionBy(*_HERE).orderBy("row_id")
+    beside = known.withColumn("text", F.when(size > 1, F.col("text"))).withColumns({"before": F.lag("candidates").over(inside), "after": F.lead("candidates").over(inside)})
+    unsure = beside.where(size > 1).join(edges.join(forced, _HERE, "left").drop("open_before", "open_after"), _HERE)
+    chosen = unsure.groupBy(*_HERE).applyInArrow(_chain, _UNSURE)
+    settled = read.where(F.coalesce(size, F.lit(0)) <= 1).select("tab", "row_id", "field", "text", "candidates", F.when(size == 1, 0).otherwise(-1).alias("pick"))
     pick = F.get("candidates", F.col("pick"))
     declared = F.array_distinct(F.transform(F.filter("candidates", lambda c: c["cost"] < WRONG_ORDER), lambda c: c["utc_us"]))
-    return chosen.select(
+    return settled.unionByName(chosen).select(
         "tab", "row_id", "field", "text", pick["utc_us"].alias("utc_us"), pick["notation"].alias("notation"),
         F.coalesce((F.size(declared) == 1) & (declared[0] == pick["utc_us"]), F.lit(False)).alias("certain"),
     )

@@ -57,3 +57,54 @@ def test_empty(spark):
     df = spark.createDataFrame([], "tab string, row_id bigint, field string, producer string, text string")
     producers = spark.createDataFrame(PRODUCERS, "producer string, time_zone string, date_order string")
     assert timestamps.normalised(df, producers).count() == 0
+
+
+def months_of_days(rng, n, step, start=datetime(2025, 1, 1, tzinfo=timezone.utc)):
+    return [start + timedelta(minutes=step * k + rng.randrange(step)) for k in range(n)]
+
+
+def undeclared(n, step=90):
+    """(row_id, producer, text, true instant) of three sources that declare no order of dates: two write slash dates only, one
+    mixes them with ISO."""
+    rng, rows = random.Random(7), []
+    for k, moment in enumerate(months_of_days(rng, n, step)):
+        moment = moment.replace(second=0, microsecond=0)
+        for j, (name, form) in enumerate((("dmy", "%d/%m/%Y %H:%M"), ("mdy", "%m/%d/%Y %H:%M"), ("mix", "%d/%m/%Y %H:%M" if rng.random() < 0.5 else "%Y-%m-%d %H:%M:%S"))):
+            rows.append((3 * k + j, name, moment.strftime(form), int(moment.timestamp()) * 1_000_000))
+    return rows
+
+
+def test_undeclared_orders_are_chosen_by_the_path(spark, monkeypatch):
+    rows = undeclared(1200)
+    df = spark.createDataFrame([("t", i, "f", p, t) for i, p, t, _ in rows], "tab string, row_id bigint, field string, producer string, text string")
+    producers = spark.createDataFrame([(p, "UTC", None) for p in ("dmy", "mdy", "mix")], "producer string, time_zone string, date_order string")
+    true, results = {i: u for i, _, _, u in rows}, {}
+    for chain in (10**6, 64, 7):
+        monkeypatch.setattr(timestamps, "CHAIN", chain)
+        results[chain] = {r.row_id: r for r in timestamps.normalised(df, producers).collect()}
+    whole = results[10**6]
+    two = [i for i, p, t, _ in rows if "/" in t and int(t[:2]) <= 12 and int(t[3:5]) <= 12 and t[:2] != t[3:5]]
+    assert len(two) > 300 and sum(whole[i].utc_us == true[i] for i in two) / len(two) > 0.99
+    assert not any(whole[i].certain for i in two)
+    # the first of both readings would be wrong in many rows: it is the path that decides
+    for chain in (64, 7):
+        assert {i: r.utc_us for i, r in results[chain].items()} == {i: r.utc_us for i, r in whole.items()}
+
+
+def test_blocks_do_not_change_the_path(spark, monkeypatch):
+    """Long runs of ambiguous rows in blocks of three, one and all rows: paths of the same cost."""
+    rng = random.Random(8)
+    texts = [rng.choice(["%02d/%02d/2025 10:00" % (rng.randrange(1, 13), rng.randrange(1, 13)), "", "2025-%02d-03 10:00:00" % rng.randrange(1, 13)] if rng.random() < 0.2 else ["%02d/%02d/2025 10:00" % (rng.randrange(1, 13), rng.randrange(1, 13))]) for _ in range(150)]
+    df = spark.createDataFrame([("t", i, "f", "x", t) for i, t in enumerate(texts)], "tab string, row_id bigint, field string, producer string, text string")
+    producers = spark.createDataFrame([("x", "UTC", None)], "producer string, time_zone string, date_order string")
+
+    def cost(found):
+        path = [r for r in found if r.utc_us is not None]
+        ways = [timestamps.steps([{"notation": a.notation, "utc_us": a.utc_us, "cost": 0.0}], [{"notation": b.notation, "utc_us": b.utc_us, "cost": 0.0}])[0, 0] for a, b in zip(path, path[1:])]
+        return sum(ways)
+
+    costs = []
+    for chain in (10**6, 3, 1):
+        monkeypatch.setattr(timestamps, "CHAIN", chain)
+        costs.append(cost(sorted(timestamps.normalised(df, producers).collect(), key=lambda r: r.row_id)))
+    assert max(costs) - min(costs) < 1e-9

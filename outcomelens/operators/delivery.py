@@ -6,7 +6,9 @@ the digit groups belong to the producer, so that the pair stands for exactly one
 resolved by an exact keyed lookup.
 
 Hot identifiers: the range pass runs twice, first over (producer, block, salt) and then over what the first pass
-accepted, so that copies of one number are spread over SALTS tasks; the keyed lookup aggregates before its shuffle.
+accepted, so that copies of one number are spread over SALTS tasks. The keyed lookup finds the row that stays by an
+aggregate that sums up before its shuffle; of the join back only the side of all rows can be hot, which adaptive execution
+splits (spark.sql.adaptive.skewJoin, on by default).
 
 Nulls, blanks and placeholders hold no identifier: such rows always stay. Ties cannot occur, as row_id is unique;
 should it repeat, all rows with the lowest one stay.
@@ -139,13 +141,9 @@ def surplus_by_lookup(rows: DataFrame) -> DataFrame:
     return keyed.join(kept, "key").where("row_id <> kept").select("row_id")
 
 
-def surplus_rows(rows: DataFrame, id_column: str, sequences: bool = True) -> DataFrame:
-    """row_id of all rows of an identifier but the one with the lowest row_id.
-
-    sequences: whether the identifiers of this table are numbered by their producers (False: all go to the lookup)."""
+def surplus_rows(rows: DataFrame, id_column: str) -> DataFrame:
+    """row_id of all rows of an identifier but the one with the lowest row_id."""
     ids = parsed(rows, id_column)
-    if not sequences:
-        return surplus_by_lookup(ids)
     return surplus_by_ranges(ids.where("producer is not null")).unionByName(surplus_by_lookup(ids.where("producer is null")))
 
 

@@ -15,30 +15,28 @@ from outcomelens.sources.tables import table
 # ---- p1: references to records that do not exist
 
 
-def _signal_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    audit, accuracy = table(spark, d, "decision_audit_trail"), table(spark, d, "recommendation_accuracy")
-    refs = references.references(audit, "decision_audit_trail", "signal_id").unionByName(references.references(accuracy, "recommendation_accuracy", "signal_id"))
-    return refs, references.intervals_to_deltas(table(spark, d, "signals"), identifier(F.col("signal_id")), F.col("loaded_at"), F.col("deleted_at"))
-
-
-def _recommendation_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    audit, accuracy = table(spark, d, "decision_audit_trail"), table(spark, d, "recommendation_accuracy")
-    refs = references.references(accuracy, "recommendation_accuracy", "recommendation_id")
-    return refs, references.first_seen_deltas(audit, identifier(F.col("recommendation_id")), F.col("received_at"))
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """References and existence deltas of both kinds of target in one; the first letter of a key is its target's (s, r)."""
+    audit, accuracy, signals = (table(spark, d, name) for name in ("decision_audit_trail", "recommendation_accuracy", "signals"))
+    of = lambda kind, rows: rows.withColumn("key", F.concat(F.lit(kind), "key"))
+    refs = of("s", references.references(audit, "decision_audit_trail", "signal_id").unionByName(references.references(accuracy, "recommendation_accuracy", "signal_id")))
+    refs = refs.unionByName(of("r", references.references(accuracy, "recommendation_accuracy", "recommendation_id")))
+    deltas = of("s", references.intervals_to_deltas(signals, identifier(F.col("signal_id")), F.col("loaded_at"), F.col("deleted_at")))
+    return refs, deltas.unionByName(of("r", references.first_seen_deltas(audit, identifier(F.col("recommendation_id")), F.col("received_at"))))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphans(*_signal_side(spark, d)).unionByName(references.orphans(*_recommendation_side(spark, d)))
+    return references.orphans(*_sides(spark, d))
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return references.report(*_signal_side(spark, d)).unionByName(references.report(*_recommendation_side(spark, d)))
+    return references.report(*_sides(spark, d))
 
 
 def p1_current(spark: SparkSession, d: str) -> DataFrame:
-    sides = {"signals": _signal_side(spark, d), "recommendations": _recommendation_side(spark, d)}
-    parts = [references.current_orphans(references.counts(*s)).select(F.lit(k).alias("target"), "key", "refs") for k, s in sides.items()]
-    return parts[0].unionByName(parts[1])
+    found = references.current_orphans(references.counts(*_sides(spark, d)))
+    target = F.when(F.startswith("key", F.lit("s")), "signals").otherwise("recommendations")
+    return found.select(target.alias("target"), F.substring("key", 2, 1_000_000).alias("key"), "refs")
 
 
 _SIG, _REC = identifier_sql("signal_id"), identifier_sql("recommendation_id")
@@ -91,7 +89,7 @@ roll as (select cal.strategy_id, cal.dy,
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    events = delivery.surplus_rows(table(spark, d, "events_synthetic"), "event_id", sequences=False)
+    events = delivery.surplus_rows(table(spark, d, "events_synthetic"), "event_id")
     audit = delivery.surplus_rows(table(spark, d, "decision_audit_trail"), "signal_id")
     return events.select(F.lit("events_synthetic").alias("tab"), "row_id").unionByName(audit.select(F.lit("decision_audit_trail").alias("tab"), "row_id"))
 

@@ -75,7 +75,9 @@ def main(arguments: list[str] | None = None) -> int:
         except ValueError as error:
             print(error, file=sys.stderr)
             return 2
-        print(render.as_json(sections.event_sections(events), {"source": chosen.dataset}, None if chosen.no_indent else 2))
+        with render.whole():
+            shown = sections.event_sections(events)
+        print(render.as_json(shown, {"source": chosen.dataset}, None if chosen.no_indent else 2))
         return 0
     data = files.read_dataset(spark, chosen.dataset)
     if chosen.command == "backtest":

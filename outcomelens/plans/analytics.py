@@ -337,7 +337,7 @@ def _streams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all_real(spark: SparkSession, d: str) -> DataFrame:
-    """For the correlation itself the synthetic amounts count as real."""
+    """The streams with every amount counted as real."""
     return _streams(spark, d).withColumn("data_is_real", F.lit(True))
 
 
@@ -348,22 +348,30 @@ _add(
     f"""with {_ST} select stream, case when not trade then 'not_trade_outcome' when coalesce(outcome, '') = 'PENDING' then 'outcome_pending' when pnl is null then 'realized_pnl_missing_or_invalid'
     when not data_is_real then 'data_not_real' else 'eligible' end reason, count(*) events from st group by 1, 2""",
 )
-_DAILY = """daily as (select stream, cast(ts as date) dy, cast(sum(cast(pnl as decimal(28,2))) as double) pnl from st where trade and coalesce(outcome, '') <> 'PENDING' and pnl is not null group by 1, 2),
+
+
+def _daily_sql(real: str) -> str:
+    return f"""daily as (select stream, cast(ts as date) dy, cast(sum(cast(pnl as decimal(28,2))) as double) pnl from st where trade and coalesce(outcome, '') <> 'PENDING' and pnl is not null{real} group by 1, 2),
   ov as (select a.dy, a.pnl a, b.pnl b from daily a join daily b on a.dy = b.dy where a.stream = 'stock' and b.stream = 'options')"""
-_add("daily_pnl", lambda spark, d: correlation.daily_pnl(_all_real(spark, d)), f'with {_ST}, {_DAILY} select stream, dy as "day", pnl from daily')
-_add(
-    "strategy_correlation",
-    lambda spark, d: correlation.strategy_correlation(_all_real(spark, d), "stock", "options"),
-    f"""with {_ST}, {_DAILY}, s as (select count(*) n, greatest(-1, least(1, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0))) r from ov)
-    select n overlap_days, case when n >= 30 then round(r, 6) end correlation, case when n >= 30 and abs(r) < 1 then round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) end "low",
-    case when n >= 30 and abs(r) < 1 then round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) end "high", case when n < 30 then 'insufficient_overlap' when n < 60 then 'small_sample' else 'ok' end status from s""",
-)
-_add(
-    "rolling_correlation",
-    lambda spark, d: correlation.rolling_correlation(_all_real(spark, d), "stock", "options"),
-    f"""with {_ST}, {_DAILY} select dy as "day", round(greatest(-1, least(1, c / nullif(da * db, 0))), 4) correlation from (select dy, row_number() over (order by dy) k, covar_pop(a, b) over w c, stddev_pop(a) over w da,
-    stddev_pop(b) over w db from ov window w as (order by dy rows between 29 preceding and current row)) where k >= 30""",
-)
+
+
+# each with the gate that leaves out amounts that are not real, and over all amounts
+for _suffix, _gate, _real in (("_real", True, " and data_is_real"), ("", False, "")):
+    _DAILY = _daily_sql(_real)
+    _add(f"daily_pnl{_suffix}", lambda spark, d, gate=_gate: correlation.daily_pnl(_streams(spark, d), gate), f'with {_ST}, {_DAILY} select stream, dy as "day", pnl from daily')
+    _add(
+        f"strategy_correlation{_suffix}",
+        lambda spark, d, gate=_gate: correlation.strategy_correlation(_streams(spark, d), "stock", "options", real_only=gate),
+        f"""with {_ST}, {_DAILY}, s as (select count(*) n, greatest(-1, least(1, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0))) r from ov)
+        select n overlap_days, case when n >= 30 then round(r, 6) end correlation, case when n >= 30 and abs(r) < 1 then round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) end "low",
+        case when n >= 30 and abs(r) < 1 then round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) end "high", case when n < 30 then 'insufficient_overlap' when n < 60 then 'small_sample' else 'ok' end status from s""",
+    )
+    _add(
+        f"rolling_correlation{_suffix}",
+        lambda spark, d, gate=_gate: correlation.rolling_correlation(_streams(spark, d), "stock", "options", real_only=gate),
+        f"""with {_ST}, {_DAILY} select dy as "day", round(greatest(-1, least(1, c / nullif(da * db, 0))), 4) correlation from (select dy, row_number() over (order by dy) k, covar_pop(a, b) over w c, stddev_pop(a) over w da,
+        stddev_pop(b) over w db from ov window w as (order by dy rows between 29 preceding and current row)) where k >= 30""",
+    )
 
 # ---- holding periods
 

@@ -1,12 +1,14 @@
-"""Markdown, HTML and JSON renderings of result tables. Only results of bounded length reach the driver: each table is cut
-to `most` rows and says how many there are."""
+"""Markdown, HTML and JSON renderings of result tables. What people read is cut to `most` rows and says how many there are;
+an export (`most` None) holds every row."""
 
 from __future__ import annotations
 
 import html
 import json
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -19,14 +21,32 @@ class Table:
     title: str
     columns: list[str]
     rows: list[tuple]
-    more: bool = False
+    more: int = 0  # rows that are not shown
     notes: list[str] = field(default_factory=list)
 
 
-def fetch(title: str, df: DataFrame, order: Iterable | None = None, most: int = MOST) -> Table:
-    """The first `most` rows in the given order (a report of fixed length)."""
-    rows = (df.orderBy(*order) if order else df).limit(most + 1).collect()
-    return Table(title, df.columns, [tuple(r) for r in rows[:most]], len(rows) > most)
+#: Whether fetch() brings every row: set by whole() for exports.
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole() -> Iterator[None]:
+    """Sections built inside hold every row: one a strategy, regime or symbol, as aggregates have them."""
+    token = _WHOLE.set(True)
+    try:
+        yield
+    finally:
+        _WHOLE.reset(token)
+
+
+def fetch(title: str, df: DataFrame, order: Iterable | None = None, most: int | None = MOST) -> Table:
+    """The first `most` rows in the given order (a report of fixed length) and how many there are beyond; all of them if
+    `most` is None or inside whole()."""
+    ordered = df.orderBy(*order) if order else df
+    if most is None or _WHOLE.get():
+        return Table(title, df.columns, [tuple(r) for r in ordered.toLocalIterator()])
+    rows = ordered.limit(most + 1).collect()
+    return Table(title, df.columns, [tuple(r) for r in rows[:most]], df.count() - most if len(rows) > most else 0)
 
 
 def shown(value: object) -> str:
@@ -48,7 +68,7 @@ def markdown(tables: list[Table], title: str, head: Iterable[str] = ()) -> str:
         lines += [f"## {table.title}", ""]
         cells = lambda row: "| " + " | ".join(shown(v).replace("|", "\\|").replace("\n", " ") for v in row) + " |"
         lines += [cells(table.columns), "|" + "---|" * len(table.columns), *map(cells, table.rows)]
-        lines += ["", f"_more than {len(table.rows)} rows_"] if table.more else []
+        lines += ["", f"_more than {len(table.rows)} rows: {len(table.rows) + table.more} in all_"] if table.more else []
         lines += [*table.notes, ""]
     return "\n".join(lines).rstrip() + "\n"
 

@@ -24,7 +24,7 @@ WORDING = {
 
 def event_sections(events: DataFrame) -> list[Table]:
     first, desc = "first_seq", F.desc
-    said = fetch("Observations", sequences.observations(events), ["ordinal", "rule", "subject"])
+    said = fetch("Observation values", sequences.observations(events), ["ordinal", "rule", "subject"])
     lines = [(WORDING[rule].format(subject=subject, value=value if value is not None else float("nan")),) for _, rule, subject, value in said.rows]
     return [
         fetch("Executive summary", performance.executive_summary(events)),

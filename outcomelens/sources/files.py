@@ -1,6 +1,7 @@
 """Readers of JSON, JSON lines, CSV and log exports: each yields events (or rows) and the errors met on the way.
 
-Absent folders and files give empty results, never exceptions. Every row carries `seq`, its order of reading. A record
+Absent folders and files give empty results, never exceptions. Every row carries `seq`, its order of reading, which is unique
+within its source: format, file (by name) and place in the file, in that order of bits. A record
 that cannot be read becomes an error row (file, error, sample); one that breaks the event rules is counted by
 quarantine(). Records are maps of texts, so NaN and Infinity in JSON are read as texts and come out null."""
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from outcomelens.functions.exprs import finite, label, mapped, safe_double
@@ -58,6 +60,36 @@ def listed(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(str(s.getPath()) for s in found) if found else []
 
 
+PLACE_BITS, FILE_BITS = 38, 18
+
+
+def ranks(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file_name, rank) of files in order of name; refuses what `seq` has no room for."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    if len(files) >= 1 << FILE_BITS:
+        raise ValueError(f"more than {1 << FILE_BITS} files in one folder")
+    for path in map(hadoop.Path, files):
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen() >= 1 << PLACE_BITS:
+            raise ValueError(f"too large to number its records: {path}")
+    return spark.createDataFrame(pa.table({"file_name": [path.rsplit("/", 1)[-1] for path in files], "rank": pa.array(range(len(files)), pa.int64())}))
+
+
+def line_place() -> Column:
+    """The place of a line: where its block begins and which row of the task it is. A line has at least one byte, so places
+    rise along a file and none occurs twice in it."""
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def in_order(rows: DataFrame, spark: SparkSession, files: list[str], part: int) -> DataFrame:
+    """rows (file, place, ...) with seq instead of place; part: the place of their format in the source (0 to 3)."""
+    if len(files) == 1:
+        return rows.withColumn("seq", F.lit(part << (PLACE_BITS + FILE_BITS)) + F.col("place").cast("bigint")).drop("place")
+    named = rows.withColumn("file_name", F.element_at(F.split(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "/"), -1))
+    joined = named.join(ranks(spark, files), "file_name", "left").drop("file_name")
+    seq = F.lit(part << (PLACE_BITS + FILE_BITS)) + F.shiftleft(F.coalesce("rank", F.lit(0)), PLACE_BITS) + F.col("place").cast("bigint")
+    return joined.withColumn("seq", seq).drop("rank", "place")
+
+
 def nothing(spark: SparkSession, present: bool = False) -> Source:
     return Source(spark.createDataFrame([], EVENTS), spark.createDataFrame([], ERRORS), present)
 
@@ -66,9 +98,10 @@ def _failed(rows: DataFrame, error: str, text: str = "value") -> DataFrame:
     return rows.select(F.col("file"), F.lit(error).alias("error"), F.substring(text, 1, 160).alias("sample"))
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+def json_lines(spark: SparkSession, path: str, schema: str, part: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of a splittable file of JSON objects, one a line; blank lines are skipped."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), line_place().alias("place"))
+    lines = in_order(lines, spark, [path], part)
     read = lines.where(F.btrim("value") != "").withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     good = F.startswith(F.ltrim("value"), F.lit("{")) & F.col("r").isNotNull() & F.get_json_object("value", "$").isNotNull()
     return read.where(good).select("seq", "file", "value", "r.*"), _failed(read.where(~good), "not a JSON object")
@@ -116,7 +149,7 @@ def _json_files(spark: SparkSession, files: list[str]) -> tuple[DataFrame, DataF
         "records", F.when(is_list, F.from_json("value", many)).when(F.col("o").isNotNull(), F.coalesce(inner, F.array("o")))
     )
     rows = read.select("file", F.posexplode("records").alias("pos", "r")).where("r is not null")
-    return rows.select(F.col("pos").cast("bigint").alias("seq"), "file", "r"), _failed(read.where("records is null"), "not readable as JSON")
+    return in_order(rows.withColumnRenamed("pos", "place"), spark, files, 0).select("seq", "file", "r"), _failed(read.where("records is null"), "not readable as JSON")
 
 
 def _csv_files(spark: SparkSession, files: list[str]) -> DataFrame | None:
@@ -126,9 +159,9 @@ def _csv_files(spark: SparkSession, files: list[str]) -> DataFrame | None:
     for header in sorted({r.h for r in headers}):
         rows = spark.read.csv([r.file for r in headers if r.h == header], header=True, inferSchema=False, enforceSchema=False)
         pairs = [x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`"))]
-        part = rows.select(F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_path").alias("file"), F.create_map(*pairs).alias("r"))
+        part = rows.select(line_place().alias("place"), F.col("_metadata.file_path").alias("file"), F.create_map(*pairs).alias("r"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is None else in_order(out, spark, files, 1)
 
 
 def read_generic(spark: SparkSession, folder: str | None, source: str = "UNKNOWN") -> Source:
@@ -142,8 +175,8 @@ def read_generic(spark: SparkSession, folder: str | None, source: str = "UNKNOWN
     if (rows := _csv_files(spark, listed(spark, folder, "*.csv"))) is not None:
         found.events = found.events.unionByName(generic_events(rows, source, zero_is_empty=False))
     if files := listed(spark, folder, "*.log"):
-        lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
-        read = lines.where(F.startswith(F.btrim("value"), F.lit("{"))).withColumn("r", F.from_json("value", "map<string,string>"))
+        lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), line_place().alias("place"))
+        read = in_order(lines, spark, files, 2).where(F.startswith(F.btrim("value"), F.lit("{"))).withColumn("r", F.from_json("value", "map<string,string>"))
         found.events = found.events.unionByName(generic_events(read.where("r is not null"), source))
         found.errors = found.errors.unionByName(_failed(read.where("r is null"), "not a JSON object"))
     return found
@@ -214,7 +247,7 @@ def read_options(spark: SparkSession, folder: str | None, source: str = "options
         ))
     chain = f"{folder}/{CHAIN_FILE}"
     if exists(spark, chain):
-        rows, errors = json_lines(spark, chain, CHAIN)
+        rows, errors = json_lines(spark, chain, CHAIN, part=1)
         rejected = dedup_first_wins(rows.where(F.upper("decision") == "REJECT").withColumn("option_contract", F.coalesce("option_contract", F.lit(""))), ["option_contract"])
         found.events = found.events.unionByName(_shaped(
             rejected, seq=F.col("seq"), event_id=F.concat(F.lit("chain:"), "option_contract"), ts=F.col("timestamp").try_cast("timestamp"), source_bot=F.lit(source), event_type=F.lit(REJECTION),

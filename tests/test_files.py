@@ -168,3 +168,22 @@ def test_fit_correlation_and_soak_sections(spark, capsys):
     text = render.markdown(sections.fit_sections(streams) + sections.correlation_sections(streams, "stock", "options"), "t")
     assert "## Grid" in text and "## Rolling correlation" in text
     assert cli.main(["soak", "--signals", "8"]) == 0 and "BREAKOUT" in capsys.readouterr().out
+
+
+def test_order_of_records_is_total_over_files_and_formats(spark, tmp_path):
+    for k, name in enumerate(("b x.json", "a+1.json")):
+        (tmp_path / name).write_text(json.dumps([{"strategy": f"j{k}{i}", "pnl": i + 1} for i in range(3)]))
+    (tmp_path / "t.csv").write_text("strategy,pnl\nc0,1\nc1,2\n")
+    (tmp_path / "u.csv").write_text("strategy,pnl,regime\nc2,1,BULL\n")
+    (tmp_path / "v.log").write_text("noise\n" + "\n".join(json.dumps({"strategy": f"l{i}"}) for i in range(3)))
+    rows = files.read_generic(spark, str(tmp_path)).events.collect()
+    assert len({r.seq for r in rows}) == len(rows) == 12
+    assert [r.strategy_id for r in sorted(rows, key=lambda r: r.seq)] == ["j10", "j11", "j12", "j00", "j01", "j02", "c0", "c1", "c2", "l0", "l1", "l2"]
+
+
+def test_export_holds_every_row(spark, tmp_path, capsys):
+    path = tmp_path / "events.json"
+    path.write_text(json.dumps([{"event_type": "TRADE_OUTCOME", "strategy": f"s{k:03d}", "outcome": "WIN", "pnl": 1.0, "score": 0.5, "regime": "BULL"} for k in range(60)]))
+    assert cli.main(["export-json", str(path)]) == 0
+    found = json.loads(capsys.readouterr().out)["analytics"]
+    assert len(found["Strategies"]) == len(found["Regime and strategy"]) == 60

@@ -44,3 +44,21 @@ def test_every_distinct_word_is_encoded_once(docs):
 
 def test_empty_table(docs):
     assert encoding.encode(docs.limit(0)).count() == 0
+
+
+def test_words_without_limit_of_ids(spark, monkeypatch):
+    """A word of more than 2 ** 20 tokens, and texts whose every word is too long to be looked up at once."""
+    long = "".join(chr(0x4E00 + k * 7 % 20000) for k in range(400_000))
+    rows = [(1, "see " + long + " end"), (2, "q" * 60), (3, "of " + "z" * 40 + " of " + "y" * 50 + "!")]
+    found = {r.doc_id: list(r.ids) for r in encoding.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{encoding.FOLDER}/byte_bpe_50k.json")
+    assert len(found[1]) > 1 << 20
+    assert found == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in rows}
+
+
+def test_texts_of_one_document(spark):
+    rows = [(1, "one text"), (1, "other text"), (1, "one text"), (2, None), (2, None)]
+    found = encoding.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [1, 1, 2]

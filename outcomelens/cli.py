@@ -7,9 +7,11 @@ import importlib.util
 import sys
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from outcomelens.operators.backtest import BacktestRules
 from outcomelens.report import render, sections
-from outcomelens.session import get_session
+from outcomelens.session import get_session, sweep
 from outcomelens.sources import files
 
 #: Packages that must not be importable where this tool runs (it only advises).
@@ -59,6 +61,14 @@ def main(arguments: list[str] | None = None) -> int:
         print(f"no such file: {chosen.dataset}", file=sys.stderr)
         return 2
     spark = get_session()
+    try:
+        return _run(chosen, spark)
+    finally:
+        sweep(spark)
+
+
+def _run(chosen: argparse.Namespace, spark: SparkSession) -> int:
+    """The exit code of a command that needs a session; the tables it cut are deleted after it."""
     if chosen.command == "run":
         from outcomelens.runner import run
 

@@ -209,6 +209,94 @@ def pattern_scan(bars: DataFrame, r: PatternRules = RULES) -> DataFrame:
     return rows.select("symbol", "date", F.explode("signals").alias("p")).select("symbol", "date", "p.pattern", "p.s.detected", "p.s.confidence", "p.s.reason")
 
 
+# ---- what lies behind a verdict
+
+#: Bars a pattern needs beyond its window, by the rule that names it, and whether it needs volumes.
+NEEDS = {
+    "breakout_after_consolidation": ("consolidation", 1, False), "volume_spike": ("volume_window", 1, True), "trend_continuation": ("trend", 1, False),
+    "mean_reversion_candidate": ("lookback", 0, False), "gap_continuation_risk": (None, 2, False), "failed_breakout": ("consolidation", 2, False),
+    "higher_high_higher_low": ("trend", 0, False), "drawdown_recovery": ("lookback", 0, False),
+}
+#: What is missing where a pattern fails closed.
+MISSING = {"insufficient_bars": "bars", "volume_missing": "volume"}
+
+
+def _measures(r: PatternRules) -> dict[str, list[tuple[str, int | None, Column]]]:
+    """Per pattern (measure, digits, value); words and truth values have no digits."""
+    o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
+    at, before = by_date(), F.lag("close").over(by_date())
+    hi, low = F.max("high").over(frame(-r.consolidation, -1)), F.min("low").over(frame(-r.consolidation, -1))
+    spread = (hi - low) / ((hi + low) / 2) * 100
+    base = F.avg("volume").over(frame(-r.volume_window, -1))
+    start = F.lag("close", r.trend).over(at)
+    net, last_up = pct(c, start), c - before > 0
+    moves = frame(-(r.trend - 1))
+    w = frame(-(r.lookback - 1))
+    mean, dev = F.avg("close").over(w), F.stddev_pop("close").over(w)
+    z = F.try_divide(c - mean, F.nullif(dev, F.lit(0.0)))
+    size = pct(o, before)
+    up, down = size >= r.gap, size <= -r.gap
+    with_gap = F.when(up, c > o).when(down, c < o).otherwise(False)
+    filled = F.when(up, lo <= before).when(down, h >= before).otherwise(False)
+    top, poke = F.max("high").over(frame(-(r.consolidation + 1), -2)), F.lag("high").over(at)
+    n = max(4, r.trend)
+    first, second = frame(-(n - 1), -(n - n // 2)), frame(-(n - n // 2 - 1))
+    h1, h2, l1, l2 = F.max("high").over(first), F.max("high").over(second), F.min("low").over(first), F.min("low").over(second)
+    deep = F.col("deep")
+    fell = lambda x: F.when(deep["fall"] < 0, x)
+    recovered = F.coalesce(F.try_divide(c - deep["trough"], F.nullif(deep["peak"] - deep["trough"], F.lit(0.0))), F.lit(0.0))
+    return {
+        "breakout_after_consolidation": [
+            ("consolidation_high", 6, hi), ("consolidation_low", 6, low), ("consolidation_range_pct", 6, spread), ("consolidated", None, spread <= r.max_range),
+            ("breakout_level", 6, hi * (1 + r.buffer / 100)), ("breakout_close", 6, c), ("breakout_pct", 6, pct(c, hi)),
+        ],
+        "volume_spike": [("last_volume", 6, v), ("baseline_volume", 6, base), ("ratio", 6, ratio(v, base))],
+        "trend_continuation": [
+            ("direction", None, F.when(net > 0, "up").when(net < 0, "down").otherwise("flat")), ("net_return_pct", 6, net), ("up_fraction", 4, F.sum("up").over(moves) / r.trend),
+            ("down_fraction", 4, F.sum("down").over(moves) / r.trend), ("last_bar_move_up", None, last_up),
+        ],
+        "mean_reversion_candidate": [
+            ("mean", 6, mean), ("stdev", 6, dev), ("last_close", 6, c), ("zscore", 4, z), ("deviation_pct", 6, pct(c, mean)),
+            ("direction", None, F.when(z <= -r.z, "oversold_reversion_up").when(z >= r.z, "overbought_reversion_down").otherwise("none")),
+        ],
+        "gap_continuation_risk": [
+            ("gap_pct", 6, size), ("direction", None, F.when(up, "gap_up").when(down, "gap_down").otherwise("none")), ("closed_in_gap_direction", None, with_gap), ("gap_filled", None, filled),
+            ("continuation_risk", None, (up | down) & with_gap & ~filled), ("prev_close", 6, before), ("open", 6, o),
+        ],
+        "failed_breakout": [("base_high", 6, top), ("breakout_high", 6, poke), ("fail_close", 6, c), ("poke_pct", 6, pct(poke, top)), ("retrace_pct", 6, pct(top, c))],
+        "higher_high_higher_low": [
+            ("structure", None, F.when((h2 > h1) & (l2 > l1), "HH_HL").when((h2 < h1) & (l2 < l1), "LH_LL").otherwise("mixed")), ("first_half_high", 6, h1), ("second_half_high", 6, h2),
+            ("first_half_low", 6, l1), ("second_half_low", 6, l2),
+        ],
+        "drawdown_recovery": [("peak", 6, fell(deep["peak"])), ("trough", 6, fell(deep["trough"])), ("max_drawdown_pct", 6, deep["fall"]), ("recovered_frac", 4, recovered), ("current_close", 6, c)],
+    }
+
+
+def pattern_evidence(bars: DataFrame, r: PatternRules = RULES) -> DataFrame:
+    """The numbers and words behind every verdict at the last bar of every symbol, one row each: symbol, date, pattern, measure,
+    number, word. A pattern that fails closed has none."""
+    entry = lambda name, digits, value: F.struct(
+        F.lit(name).alias("measure"),
+        (F.lit(None).cast("double") if digits is None else F.round(value.cast("double"), digits)).alias("number"),
+        (value.cast("string") if digits is None else F.lit(None).cast("string")).alias("word"),
+    )
+    parts = [F.struct(F.lit(name).alias("pattern"), PATTERNS[name](r)["reason"].alias("reason"), F.array(*[entry(*m) for m in measures]).alias("m")) for name, measures in _measures(r).items()]
+    last = F.lead("date").over(by_date()).isNull()
+    rows = prepared(bars, r).select("symbol", "date", last.alias("last"), F.array(*parts).alias("parts")).where("last")
+    found = rows.select("symbol", "date", F.explode("parts").alias("p")).where("p.reason is null").select("symbol", "date", "p.pattern", F.explode("p.m").alias("e"))
+    return found.select("symbol", "date", "pattern", "e.measure", "e.number", "e.word")
+
+
+def pattern_signals(bars: DataFrame, r: PatternRules = RULES) -> DataFrame:
+    """pattern_scan with what each pattern needs and misses. Every verdict is research only, and one that fails closed vouches
+    for no real data. bars: with data_is_real."""
+    needs = [F.when(F.col("pattern") == name, F.struct(F.lit(more + (getattr(r, rule) if rule else 0)).alias("min_bars"), F.lit(volume).alias("needs_volume"))) for name, (rule, more, volume) in NEEDS.items()]
+    missing = F.coalesce(*[F.when(F.col("reason") == reason, what) for reason, what in MISSING.items()])
+    real = bars.groupBy("symbol").agg(F.bool_and(F.coalesce("data_is_real", F.lit(False))).alias("real"))
+    rows = pattern_scan(bars, r).join(real, "symbol").withColumn("needs", F.coalesce(*needs))
+    return rows.select("symbol", "date", "pattern", "detected", "confidence", "reason", "needs.min_bars", "needs.needs_volume", missing.alias("missing_data"), F.lit(True).alias("research_only"), (F.col("real") & F.col("reason").isNull()).alias("data_is_real"))
+
+
 # ---- indicators
 
 

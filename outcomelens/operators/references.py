@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from outcomelens.functions.identifiers import identifier
+from outcomelens.session import cut
 
 BLOCK = "minute"
 
@@ -56,11 +57,11 @@ def references(rows: DataFrame, tab: str, field: str, row_id: str = "row_id", at
 
 
 def changes(refs: DataFrame, deltas: DataFrame) -> DataFrame:
-    """(key, at, refs, existence): the signed deltas of both sides, one row per key and instant."""
+    """(key, at, refs, existence): the signed deltas of both sides, one row per key and instant, written once for all readers."""
     none = F.lit(0).cast("bigint")
     referenced = refs.select("key", "at", F.lit(1).cast("bigint").alias("refs"), none.alias("existence"))
     existing = deltas.select("key", "at", none.alias("refs"), F.col("existence").cast("bigint").alias("existence"))
-    return referenced.unionByName(existing).groupBy("key", "at").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence"))
+    return cut(referenced.unionByName(existing).groupBy("key", "at").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence")))
 
 
 def states(deltas: DataFrame) -> DataFrame:

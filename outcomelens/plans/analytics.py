@@ -405,7 +405,7 @@ _ERRORS = [
     (f'{_GOODP.format(chr(34) + "close" + chr(34))} and not ("close" between low and high)', "close_outside_range"), ("volume < 0", "volume_negative"), ('"date" is null', "date_missing"),
     ("before >= \"date\"", "date_not_increasing"),
 ]
-_CHECKED = "ck as (select symbol, \"date\" dt, \"open\" o, high h, low l, \"close\" c, volume v, list_filter([" + ", ".join(f"case when {cond} then '{name}' end" for cond, name in _ERRORS) + """], lambda x: x is not null) errors
+_CHECKED = "ck as (select row_id, symbol, \"date\" dt, \"open\" o, high h, low l, \"close\" c, volume v, list_filter([" + ", ".join(f"case when {cond} then '{name}' end" for cond, name in _ERRORS) + """], lambda x: x is not null) errors
   from (select *, lag("date") over (partition by symbol order by "date", row_id) before from outcomes_clusters)), b as (select * from ck where len(errors) = 0)"""
 _add(
     "bar_validation",
@@ -422,39 +422,41 @@ def _pattern_sql(inner: str, ready: str, detected: str, confidence: str, reason:
       select *, coalesce(ready and ({detected}) and rs is null, false) ok from (select *, {ready} ready, {reason} rs from ({inner})))"""
 
 
-_PATTERN_SQL = {
-    "breakout_after_consolidation": _pattern_sql(
+#: Per pattern: its rows, whether it has bars enough, its rule, its confidence and why else it fails closed.
+_PATTERN_ARGS = {
+    "breakout_after_consolidation": (
         f"select *, (hi - lo) / ((hi + lo) / 2) * 100 spread, (c / hi - 1) * 100 rise from (select *, max(h) over ({_N} 10 preceding and 1 preceding) hi, min(l) over ({_N} 10 preceding and 1 preceding) lo, count(c) over ({_N} 10 preceding and 1 preceding) k from b)",
         "k = 10", "spread <= 5 and c > hi", f"0.5 * {_C01.format('1 - spread / 5')} + 0.5 * {_C01.format('rise / 5')}",
     ),
-    "volume_spike": _pattern_sql(
+    "volume_spike": (
         f"select *, v / base times from (select *, avg(v) over ({_N} 20 preceding and 1 preceding) base, count(v) over ({_N} 20 preceding and 1 preceding) kv, count(c) over ({_N} 20 preceding and 1 preceding) k from b)",
         "k = 20", "times >= 2", "times / 4", "case when v is null or kv < 20 then 'volume_missing' when base <= 0 then 'degenerate_baseline' end",
     ),
-    "trend_continuation": _pattern_sql(
+    "trend_continuation": (
         f"select *, sum(case when mv > 0 then 1 else 0 end) over ({_N} 9 preceding and current row) / 10 ups, sum(case when mv < 0 then 1 else 0 end) over ({_N} 9 preceding and current row) / 10 downs from (select *, c - lag(c) over (partition by symbol order by dt) mv, c - lag(c, 10) over (partition by symbol order by dt) net from b)",
         "net is not null", "case when net > 0 then mv > 0 and ups >= 0.6 when net < 0 then not (mv > 0) and downs >= 0.6 else false end", "case when net > 0 then ups else downs end",
     ),
-    "mean_reversion_candidate": _pattern_sql(
+    "mean_reversion_candidate": (
         f"select *, (c - m) / nullif(sd, 0) z from (select *, avg(c) over ({_N} 19 preceding and current row) m, stddev_pop(c) over ({_N} 19 preceding and current row) sd, count(c) over ({_N} 19 preceding and current row) k, min(c) over ({_N} 19 preceding and current row) = max(c) over ({_N} 19 preceding and current row) flat from b)",
         "k = 20", "abs(z) >= 2", "0.5 + 0.5 * (abs(z) - 2) / 2", "case when flat then 'zero_variance' end",
     ),
-    "gap_continuation_risk": _pattern_sql("select *, (o / p - 1) * 100 g from (select *, lag(c) over (partition by symbol order by dt) p from b)", "p is not null", "abs(g) >= 2", "abs(g) / 4"),
-    "failed_breakout": _pattern_sql(
+    "gap_continuation_risk": ("select *, (o / p - 1) * 100 g from (select *, lag(c) over (partition by symbol order by dt) p from b)", "p is not null", "abs(g) >= 2", "abs(g) / 4"),
+    "failed_breakout": (
         f"select *, (base / c - 1) * 100 + (p / base - 1) * 100 sz from (select *, max(h) over ({_N} 11 preceding and 2 preceding) base, count(c) over ({_N} 11 preceding and 2 preceding) k, lag(h) over (partition by symbol order by dt) p from b)",
         "k = 10", "p > base and c < base", "sz / 10",
     ),
-    "higher_high_higher_low": _pattern_sql(
+    "higher_high_higher_low": (
         f"select *, (abs(h2 / h1 - 1) * 100 + abs(l2 / l1 - 1) * 100) sz from (select *, max(h) over ({_N} 9 preceding and 5 preceding) h1, max(h) over ({_N} 4 preceding and current row) h2, min(l) over ({_N} 9 preceding and 5 preceding) l1, min(l) over ({_N} 4 preceding and current row) l2, count(c) over ({_N} 9 preceding and current row) k from b)",
         "k = 10", "(h2 > h1 and l2 > l1) or (h2 < h1 and l2 < l1)", "sz / 10",
     ),
-    "drawdown_recovery": _pattern_sql(
+    "drawdown_recovery": (
         f"""select w.*, coalesce((c - trough) / nullif(peak - trough, 0), 0) rec from (select symbol, dt, any_value(c) c, count(*) k, min(least(fall, 0)) fall, coalesce(arg_min(cc, (fall, ii)) filter (where fall < 0), 0) trough,
           coalesce(arg_min(top, (fall, ii)) filter (where fall < 0), 0) peak from (select x.symbol, x.dt, x.c, y.c cc, y.i ii, max(y.c) over (partition by x.symbol, x.dt order by y.i) top, (y.c / max(y.c) over (partition by x.symbol, x.dt order by y.i) - 1) * 100 fall
           from bn x join bn y on y.symbol = x.symbol and y.i between x.i - 19 and x.i) group by 1, 2) w""",
         "k = 20", "abs(fall) >= 10 and rec >= 0.5", f"0.5 * {_C01.format('rec')} + 0.5 * {_C01.format('abs(fall) / 20')}",
     ),
 }
+_PATTERN_SQL = {name: _pattern_sql(*args) for name, args in _PATTERN_ARGS.items()}
 _BN = "bn as (select *, row_number() over (partition by symbol order by dt) i from b)"
 _NAMES = {
     "pattern_breakout": "breakout_after_consolidation", "pattern_volume_spike": "volume_spike", "pattern_trend": "trend_continuation", "pattern_mean_reversion": "mean_reversion_candidate",
@@ -468,6 +470,64 @@ _add(
     f"with {_CHECKED}, {_BN}, las as (select symbol, max(dt) dt from b group by 1) "
     + " union all ".join(f"select s.symbol, s.dt as \"date\", '{name}' pattern, detected, confidence, reason from ({sql}) s join las on las.symbol = s.symbol and las.dt = s.dt" for name, sql in _PATTERN_SQL.items()),
 )
+_WORD = lambda *cases: "case " + " ".join(f"when {cond} then '{word}'" for cond, word in cases[:-1]) + f" else '{cases[-1]}' end"
+_UP, _DOWN = "g >= 2", "g <= -2"
+_WITH = f"(case when {_UP} then c > o when {_DOWN} then c < o else false end)"
+_FILLED = f"(case when {_UP} then l <= p when {_DOWN} then h >= p else false end)"
+_MEASURES = {
+    "breakout_after_consolidation": [
+        ("consolidation_high", 6, "hi"), ("consolidation_low", 6, "lo"), ("consolidation_range_pct", 6, "spread"), ("consolidated", None, "spread <= 5"), ("breakout_level", 6, "hi"),
+        ("breakout_close", 6, "c"), ("breakout_pct", 6, "rise"),
+    ],
+    "volume_spike": [("last_volume", 6, "v"), ("baseline_volume", 6, "base"), ("ratio", 6, "times")],
+    "trend_continuation": [
+        ("direction", None, _WORD(("net > 0", "up"), ("net < 0", "down"), "flat")), ("net_return_pct", 6, "(c / (c - net) - 1) * 100"), ("up_fraction", 4, "ups"), ("down_fraction", 4, "downs"),
+        ("last_bar_move_up", None, "mv > 0"),
+    ],
+    "mean_reversion_candidate": [
+        ("mean", 6, "m"), ("stdev", 6, "sd"), ("last_close", 6, "c"), ("zscore", 4, "z"), ("deviation_pct", 6, "(c / m - 1) * 100"),
+        ("direction", None, _WORD(("z <= -2", "oversold_reversion_up"), ("z >= 2", "overbought_reversion_down"), "none")),
+    ],
+    "gap_continuation_risk": [
+        ("gap_pct", 6, "g"), ("direction", None, _WORD((_UP, "gap_up"), (_DOWN, "gap_down"), "none")), ("closed_in_gap_direction", None, _WITH), ("gap_filled", None, _FILLED),
+        ("continuation_risk", None, f"abs(g) >= 2 and {_WITH} and not {_FILLED}"), ("prev_close", 6, "p"), ("open", 6, "o"),
+    ],
+    "failed_breakout": [("base_high", 6, "base"), ("breakout_high", 6, "p"), ("fail_close", 6, "c"), ("poke_pct", 6, "(p / base - 1) * 100"), ("retrace_pct", 6, "(base / c - 1) * 100")],
+    "higher_high_higher_low": [
+        ("structure", None, _WORD(("h2 > h1 and l2 > l1", "HH_HL"), ("h2 < h1 and l2 < l1", "LH_LL"), "mixed")), ("first_half_high", 6, "h1"), ("second_half_high", 6, "h2"), ("first_half_low", 6, "l1"),
+        ("second_half_low", 6, "l2"),
+    ],
+    "drawdown_recovery": [
+        ("peak", 6, "case when fall < 0 then peak end"), ("trough", 6, "case when fall < 0 then trough end"), ("max_drawdown_pct", 6, "fall"), ("recovered_frac", 4, "rec"), ("current_close", 6, "c"),
+    ],
+}
+
+
+def _evidence_sql(name: str) -> str:
+    inner, ready, _, _, *reason = _PATTERN_ARGS[name]
+    rows = f"select * from ({inner}) where coalesce({ready}, false) and ({reason[0] if reason else 'null'}) is null"
+    parts = [
+        f"select symbol, dt, '{name}' pattern, '{m}' measure, {f'round(cast({x} as double), {digits})' if digits else 'cast(null as double)'} number, {'cast(null as varchar)' if digits else f'cast({x} as varchar)'} word from ({rows})"
+        for m, digits, x in _MEASURES[name]
+    ]
+    return " union all ".join(parts)
+
+
+_LAST = "las as (select symbol, max(dt) dt from b group by 1)"
+_add(
+    "pattern_evidence",
+    lambda spark, d: bars.pattern_evidence(_valid(spark, d)),
+    f"with {_CHECKED}, {_BN}, {_LAST} " + " union all ".join(f'select s.symbol, s.dt as "date", pattern, measure, number, word from ({_evidence_sql(name)}) s join las on las.symbol = s.symbol and las.dt = s.dt' for name in _PATTERN_ARGS),
+)
+_NEEDS = {name: (more + (getattr(bars.RULES, rule) if rule else 0), volume) for name, (rule, more, volume) in bars.NEEDS.items()}
+_add(
+    "pattern_signals",
+    lambda spark, d: bars.pattern_signals(bars.valid_bars(table(spark, d, "outcomes_clusters")).select("symbol", "date", "open", "high", "low", "close", "volume", "data_is_real")),
+    f"""with {_CHECKED}, {_BN}, {_LAST}, sc as ({" union all ".join(f"select symbol, dt, '{name}' pattern, detected, confidence, reason, {n} min_bars, {str(vol).lower()} needs_volume from ({_PATTERN_SQL[name]})" for name, (n, vol) in _NEEDS.items())}),
+    re as (select b.symbol, bool_and(coalesce(r.data_is_real, false)) real from b join outcomes_clusters r on r.symbol = b.symbol and r."date" = b.dt and r.row_id = b.row_id group by 1)
+    select sc.symbol, sc.dt as "date", pattern, detected, confidence, reason, min_bars, needs_volume, case reason when 'insufficient_bars' then 'bars' when 'volume_missing' then 'volume' end missing_data,
+      true research_only, real and reason is null data_is_real from sc join las on las.symbol = sc.symbol and las.dt = sc.dt join re on re.symbol = sc.symbol""",
+)
 _add(
     "gap_risk",
     lambda spark, d: _valid(spark, d).select("symbol", "date", bars.gap_risk().alias("continuation_risk")),
@@ -518,7 +578,7 @@ def _trades(spark: SparkSession, d: str, rules: backtest.BacktestRules = backtes
     return backtest.backtest_trades(_valid(spark, d), _signals(spark, d), rules)
 
 
-_SIGNALS = f"""bx as (select *, row_number() over (partition by symbol order by dt) i, count(*) over (partition by symbol) nb from (select ck.*, r.row_id, r.setup_label from ck
+_SIGNALS = f"""bx as (select *, row_number() over (partition by symbol order by dt) i, count(*) over (partition by symbol) nb from (select ck.* exclude (row_id), r.row_id, r.setup_label from ck
     join outcomes_clusters r on r.symbol = ck.symbol and r."date" = ck.dt where len(errors) = 0)),
   sg as (select 'b' || row_id signal_id, symbol, dt signal_date, case when row_id % 7 = 0 then 'short' else 'long' end direction, setup_label from bx where i % 3 = 0
     union all select signal_id, symbol, signal_date, lower(direction), setup_type from signals),

@@ -82,6 +82,7 @@ def scan_sections(rows: DataFrame) -> list[Table]:
         fetch("Bar errors", bars.bar_validation(rows).where("error <> ''"), ["symbol", "error"]),
         fetch("Detected", scan.where("detected"), ["symbol", "pattern"]),
         fetch("Not detected", scan.where("not detected"), ["symbol", "pattern"]),
+        fetch("Evidence", bars.pattern_evidence(valid), ["symbol", "pattern", "measure"]),
         fetch("Indicators", bars.indicator_report(valid), ["symbol"]),
     ]
 

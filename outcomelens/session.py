@@ -43,10 +43,16 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def _ship(spark: SparkSession) -> None:
-    """Send the package to the executors, unless they inherit a path to it; once an application."""
+    """Send the package to the executors, once an application. A path that only the driver has helps none of them; on a
+    local master they inherit it."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
-    if root in map(Path, [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]) or context.applicationId in _SHIPPED:
+    here = root in map(Path, [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()])
+    if (here and _local(spark)) or context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
     folder = tempfile.mkdtemp(prefix="outcomelens-code-")  # on the driver, which serves it to the executors
@@ -55,10 +61,13 @@ def _ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, else (tests) a local one set here."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir, or the checkpoint directory that is set; on a local
+    master else one set here. Anywhere else a missing folder is an error: tables would be written to one machine each."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not known and not _local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(known or tempfile.mkdtemp(prefix="outcomelens-"))
     return known or context._jsc.sc().getCheckpointDir().get()
 

@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="outcomelens")
     commands = top.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run")
-    for name in ("options", "trades", "generic"):
+    for name in ("options", "trades", "generic", "worker", "regime"):
         run.add_argument(f"--{name}")
     run.add_argument("--out", default="reports")
     run.add_argument("--name", default="report")
@@ -72,7 +72,7 @@ def _run(chosen: argparse.Namespace, spark: SparkSession) -> int:
     if chosen.command == "run":
         from outcomelens.runner import run
 
-        print(run(spark, chosen.out, chosen.name, options=chosen.options, trades=chosen.trades, generic=chosen.generic)["report"])
+        print(run(spark, chosen.out, chosen.name, options=chosen.options, trades=chosen.trades, generic=chosen.generic, worker=chosen.worker, regime=chosen.regime)["report"])
         return 0
     if chosen.command == "soak":
         from outcomelens.sources import synthetic

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from outcomelens.functions.exprs import finite, label
+from outcomelens.operators import performance
 from outcomelens.schema import FLOOR_REGIMES
 
 
@@ -23,6 +24,24 @@ def _unit(value: Column) -> Column:
     return F.when((value >= 0) & (value <= 1) & ~F.isnan(value), value)
 
 
+OVERRIDES = ("sample_size", "confidence", "win_rate", "edge", "data_is_real", "produced_at", "fresh_until", "regime", "regime_verified", "exposure_increasing")
+
+
+def evidence_from_events(events: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The evidence of every strategy with events: trades, mean score, win rate, last event, most frequent regime. overrides:
+    (strategy_id and any of OVERRIDES) replace what they hold. Edge and expiry are not in events; exposure counts as rising."""
+    last = events.groupBy("strategy_id").agg(F.max("ts").cast("timestamp").alias("produced_at"), F.bool_or("data_is_real").alias("data_is_real"))
+    stats = performance.strategy_stats(events).select(F.col("strategy_id"), F.col("trade_outcomes").alias("sample_size"), F.col("avg_score").alias("confidence"), "win_rate")
+    top = performance.strategy_top_regime(events).select("strategy_id", F.col("top_regime").alias("regime"))
+    rows = stats.join(last, "strategy_id").join(top, "strategy_id", "left")
+    rows = rows.withColumns({"edge": F.lit(None).cast("double"), "fresh_until": F.lit(None).cast("timestamp"), "regime_verified": F.col("regime").isNotNull(), "exposure_increasing": F.lit(True)})
+    if overrides is None:
+        return rows
+    given = [c for c in OVERRIDES if c in overrides.columns]
+    joined = rows.join(overrides.select("strategy_id", *[F.col(c).alias(f"given_{c}") for c in given]), "strategy_id", "left")
+    return joined.withColumns({c: F.coalesce(f"given_{c}", c) for c in given}).drop(*[f"given_{c}" for c in given])
+
+
 def statistical_floor(evidence: DataFrame, as_of: Column, rules: FloorRules = FloorRules()) -> DataFrame:
     """evidence: subject, sample_size, confidence, win_rate, edge, data_is_real, produced_at, fresh_until, regime,
     regime_verified, exposure_increasing. Adds refusals, warnings (arrays), approved and strength. Null evidence refuses."""

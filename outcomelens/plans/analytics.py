@@ -680,13 +680,7 @@ _AS_OF = "2026-01-15 00:00:00"
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    events = cut(tactical.tactical_events(table(spark, d, "events_synthetic")).select(*_CORE))
-    last = events.groupBy("strategy_id").agg(F.max("ts").cast("timestamp").alias("produced_at"), F.bool_or("data_is_real").alias("data_is_real"))
-    stats = performance.strategy_stats(events).select(F.col("strategy_id"), F.col("trade_outcomes").alias("sample_size"), F.col("avg_score").alias("confidence"), "win_rate")
-    top = performance.strategy_top_regime(events).select("strategy_id", F.col("top_regime").alias("regime"))
-    none = F.lit(None)
-    rows = stats.join(last, "strategy_id").join(top, "strategy_id", "left")
-    return rows.withColumn("edge", none.cast("double")).withColumn("fresh_until", none.cast("timestamp")).withColumn("regime_verified", F.col("regime").isNotNull()).withColumn("exposure_increasing", F.lit(True))
+    return floor.evidence_from_events(cut(tactical.tactical_events(table(spark, d, "events_synthetic")).select(*_CORE)))
 
 
 def _floor(spark: SparkSession, d: str) -> DataFrame:

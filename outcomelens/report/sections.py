@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from outcomelens.gates import floor
 from outcomelens.operators import backtest, bars, correlation, outcomes, performance, sequences
 from outcomelens.report.render import Table, fetch
 from outcomelens.schema import REGIMES
@@ -47,6 +48,13 @@ def event_sections(events: DataFrame) -> list[Table]:
     ]
 
 
+def floor_sections(events: DataFrame, as_of: Column, overrides: DataFrame | None = None) -> list[Table]:
+    """The statistical floor checked again on what the report shows: every strategy with the rules that refuse it."""
+    judged = floor.statistical_floor(floor.evidence_from_events(events, overrides), as_of)
+    shown = judged.select("strategy_id", "sample_size", "confidence", "win_rate", "approved", "strength", F.array_join("refusals", "; ").alias("refusals"))
+    return [fetch("Statistical floor", shown, [F.desc("approved"), F.desc("sample_size"), "strategy_id"])]
+
+
 def fit_sections(events: DataFrame, floor: int = 30) -> list[Table]:
     """The regime and strategy fit as a list and as a grid; withheld rates stay empty, absent cells show a dash."""
     grid = outcomes.regime_strategy_grid(events, floor)
@@ -65,8 +73,15 @@ def correlation_sections(streams: DataFrame, a: str, b: str) -> list[Table]:
 
 
 def soak_sections(rows: DataFrame, signals: DataFrame, rules: backtest.BacktestRules = backtest.BacktestRules()) -> list[Table]:
-    """Backtest of synthetic setups, ranked by expectancy, with the verdict of the floor on each."""
-    return [fetch("Expectancy", backtest.setup_expectancy(backtest.backtest_trades(rows, signals, rules)), ["rank"])]
+    """Backtest of synthetic setups, ranked by expectancy, and the verdict of the floor on each. The trades are synthetic, so no
+    setup is real; the soak asks what the floor says of the statistics alone."""
+    ranked = backtest.setup_expectancy(backtest.backtest_trades(rows, signals, rules))
+    evidence = ranked.select(
+        F.col("setup").alias("subject"), F.col("trades").alias("sample_size"), F.col("win_rate").alias("confidence"), "win_rate", (F.col("avg_return_pct") / 100).alias("edge"), F.lit(True).alias("data_is_real"),
+        F.current_timestamp().alias("produced_at"), F.lit(None).cast("timestamp").alias("fresh_until"), F.lit(None).cast("string").alias("regime"), F.lit(False).alias("regime_verified"), F.lit(False).alias("exposure_increasing"),
+    )
+    judged = floor.statistical_floor(evidence, F.current_timestamp()).select("subject", "sample_size", "win_rate", F.round("edge", 4).alias("edge"), "strength", F.array_join("refusals", "; ").alias("refusals"))
+    return [fetch("Expectancy", ranked, ["rank"]), fetch("Floor", judged, [F.desc("edge"), "subject"])]
 
 
 def dashboard_sections(events: DataFrame) -> list[Table]:

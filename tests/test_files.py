@@ -187,3 +187,37 @@ def test_export_holds_every_row(spark, tmp_path, capsys):
     assert cli.main(["export-json", str(path)]) == 0
     found = json.loads(capsys.readouterr().out)["analytics"]
     assert len(found["Strategies"]) == len(found["Regime and strategy"]) == 60
+
+
+def test_run_over_all_inputs(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from outcomelens.runner import run
+
+    options(tmp_path / "o")
+    put(tmp_path / "o" / "data/reports/strategy_performance.json", {"strategy": "x", "trades": 3})
+    put(tmp_path / "t.jsonl", json.dumps({"event_type": "SELL_EXECUTED", "timestamp": "2026-01-01T10:00:00Z", "data": {"strategy": "t1", "trade_id": "a", "netto_pnl": "5", "ticker": "AB", "execution_mode": "LIVE"}}) + "\n")
+    put(tmp_path / "g" / "a.json", [{"strategy": "g1", "pnl": 1, "outcome": "WIN"}])
+    put(tmp_path / "w.json", {"status": "READY", "completed_at": "2026-01-01T00:00:00Z"})
+    put(tmp_path / "r" / "regime_export.json", {"market_regime": "bull", "confidence": 80, "produced_at": "2026-01-01T20:00:00Z", "data_is_real": True})
+    sources = dict(options=str(tmp_path / "o"), trades=str(tmp_path / "t.jsonl"), generic=str(tmp_path / "g"), worker=str(tmp_path / "w.json"), regime=str(tmp_path / "r"))
+    for day in (2, 3):
+        paths = run(spark, str(tmp_path / "out"), at=datetime(2026, 1, day, tzinfo=timezone.utc), **sources)
+    text = open(paths["report"]).read()
+    for title in ("Statistical floor", "Correlation", "Strategy performance", "Against earlier runs", "Diagnostics"):
+        assert f"## {title}" in text, title
+    assert "worker_health" in text and "regime_bull" in text and "sample_size_below_floor" in text and "| worker | given |" in text
+
+
+def test_overrides_of_evidence(spark):
+    from outcomelens.gates import floor
+
+    events = spark.createDataFrame(
+        [(k, "2026-01-01 00:00:00", "TRADE_OUTCOME", "s", "BULL", 0.9, None, 1.0, "WIN" if k % 5 else "LOSS", True) for k in range(40)],
+        "seq bigint, ts string, event_type string, strategy_id string, regime string, score double, expected_rr double, pnl double, outcome string, data_is_real boolean",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    as_of = F.lit("2026-01-03").cast("timestamp")
+    judge = lambda over=None: floor.statistical_floor(floor.evidence_from_events(events, over), as_of).first()
+    assert judge().approved and judge().strength == "STRONG"
+    over = spark.createDataFrame([("s", 0.001, "2026-01-02")], "strategy_id string, edge double, fresh_until string").withColumn("fresh_until", F.col("fresh_until").cast("timestamp"))
+    assert judge(over).refusals == ["edge_below_floor", "evidence_stale"]

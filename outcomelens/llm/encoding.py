@@ -128,7 +128,8 @@ def encode(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     schema = "doc_id bigint, version bigint, ids array<int>, ends array<int>, open array<int>, words array<string>"
     read = cut(texts.mapInArrow(_lists(shared), schema))
     # rows of the same text: the first of each is enough, and one that stands alone is not shuffled with its ids
-    again = read.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "version")
+    # (written, so that its size is known before the join is planned)
+    again = cut(read.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "version"))
     once = read.join(again, ["doc_id", "version"], "left_anti").unionByName(read.join(again, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]))
     rest = once.where(F.size("open") > 0)
     places = rest.select("doc_id", "version", F.explode(F.arrays_zip("open", "words")).alias("p")).select("doc_id", "version", F.col("p.open").alias("pos"), F.col("p.words").alias("word"))

@@ -141,9 +141,13 @@ def surplus_by_lookup(rows: DataFrame) -> DataFrame:
     return keyed.join(kept, "key").where("row_id <> kept").select("row_id")
 
 
-def surplus_rows(rows: DataFrame, id_column: str) -> DataFrame:
-    """row_id of all rows of an identifier but the one with the lowest row_id."""
+def surplus_rows(rows: DataFrame, id_column: str, sequences: bool = True) -> DataFrame:
+    """row_id of all rows of an identifier but the one with the lowest row_id.
+
+    sequences: False if no identifier of this table is numbered by its producer; all go to the lookup, with the same rows."""
     ids = parsed(rows, id_column)
+    if not sequences:
+        return surplus_by_lookup(ids)
     return surplus_by_ranges(ids.where("producer is not null")).unionByName(surplus_by_lookup(ids.where("producer is null")))
 
 
